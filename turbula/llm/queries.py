@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turbula.llm import bpe_index, packing_dp
+from turbula.llm import bpe_index, license_scan, packing_dp, quality_bt, secret_grammar, toxicity_mil
 from turbula.llm.rows import table
 
 
@@ -14,6 +15,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_index.encode_texts(table(spark, sf_dir, "documents"), path, digests=True)
 
 
+def _fold(folds: int):
+    """The fold of an id: crc32 of its text modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_bt.score_quality(docs, labels, train=_fold(4) != 2)
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity_mil.score_toxicity(docs, labels, train=_fold(3) != 1, with_sentences=True)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted", "sentences")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_dp.pack_documents(
         table(spark, sf_dir, "documents"),
@@ -22,7 +44,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op9_packing": op9_packing}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_grammar.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_license": op3_license,
+    "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
+}
 
 #: DuckDB SQL, where SQL can express a query.
 ORACLES: dict[str, str] = {}
