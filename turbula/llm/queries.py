@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turbula.llm import bpe_index, license_scan, packing_dp, quality_bt, secret_grammar, toxicity_mil
+from turbula.llm import bpe_index, html_mincut, license_scan, packing_dp, quality_bt, secret_grammar, toxicity_mil
 from turbula.llm.rows import table
 
 
@@ -20,6 +20,10 @@ def _fold(folds: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op3_license": op3_license,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
