@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turbula.llm.rows import map_rows
+from turbula.llm.shared import bounded_sample
 
 # Elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -288,8 +289,7 @@ def extract_main_text(
     """
     key = F.col(id_column).cast("long")
     chosen = pages.select(key.alias("page_id"), F.col(html_column).alias("html")).where("html is not null")
-    rows = chosen.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
-    weights = fit_shapes([r["html"] for r in rows])
+    weights = fit_shapes([r["html"] for r in bounded_sample(chosen, ["page_id", "html"], sample)])
 
     def run(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
         for keys, urls, htmls in blocks:

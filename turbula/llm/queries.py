@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turbula.llm import bpe_index, html_mincut, license_scan, packing_dp, quality_bt, secret_grammar, toxicity_mil
+from turbula.llm import (
+    ann_scan,
+    bpe_index,
+    html_mincut,
+    license_scan,
+    packing_dp,
+    quality_bt,
+    secret_grammar,
+    toxicity_mil,
+    vector_pq,
+)
 from turbula.llm.rows import table
 
 
@@ -24,6 +34,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mincut.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_scan.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -34,6 +48,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_pq.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity_mil.score_toxicity(docs, labels, train=_fold(3) != 1, with_sentences=True)
@@ -54,9 +72,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html": op1_html,
+    "op2_neighbours": op2_neighbours,
     "op3_license": op3_license,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
+    "op7_vectors": op7_vectors,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
