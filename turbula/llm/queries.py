@@ -10,6 +10,7 @@ from turbula.llm import (
     ann_scan,
     bpe_index,
     html_mincut,
+    jaccard_groups,
     license_scan,
     packing_dp,
     quality_bt,
@@ -42,6 +43,10 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality_bt.score_quality(docs, labels, train=_fold(4) != 2)
@@ -75,6 +80,7 @@ QUERIES = {
     "op2_neighbours": op2_neighbours,
     "op3_license": op3_license,
     "op4_bpe": op4_bpe,
+    "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
     "op7_vectors": op7_vectors,
     "op8_toxicity": op8_toxicity,

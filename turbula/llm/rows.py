@@ -51,6 +51,19 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_column: str, keep: Callable[[list[bytes]], list[bool]], rows: int = 500) -> DataFrame:
+    """The rows of ``df`` whose text ``keep`` accepts, all columns as they are; null texts count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                texts = part.column(part.schema.get_field_index(text_column)).to_pylist()
+                yield part.filter(pa.array(keep([(t or "").encode() for t in texts]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 _ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),

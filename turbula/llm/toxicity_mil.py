@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turbula.llm.quality_bt import labelled_texts
-from turbula.llm.rows import map_rows, whole_text
+from turbula.llm.rows import keep_rows, map_rows, whole_text
 
 _SENTENCES = re.compile(rb"[^.!?\n]+").finditer
 _WORD = rb"[A-Za-z\x80-\xff]+"
@@ -162,3 +162,9 @@ def score_toxicity(
 
     columns = [F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column)]
     return map_rows(docs, columns, run, "doc_id long,score double,predicted int" + ",sentences string" * with_sentences)
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", bound: int = 6000, reject: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text scores less than ``reject``, all columns as they are."""
+    model = fit_bags(*labelled_texts(docs, labels, label, train, bound))
+    return keep_rows(docs, "text", lambda texts: [model.document(t)[0] < reject for t in texts])
