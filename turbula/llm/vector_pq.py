@@ -109,27 +109,34 @@ def near_duplicate_vectors(
     chunks = np.maximum(1, np.ceil(sizes / chunk_rows)).astype(int)
     turns = np.maximum(1, np.ceil(asked * n / max(1, min(4000, len(lists.sample))) / chunk_probes)).astype(int)
 
+    # Components as they are stored: single precision loses nothing of a float column.
+    kind = "<f4" if "float" in vectors.schema[vector_column].dataType.simpleString() else "<f8"
+
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out: dict[str, list] = {"list": [], "chunk": [], "turn": [], "member": [], "rep": [], "copies": [], "v": [], "probed": []}
-            for at in range(0, len(f), 2000):
-                g = f.iloc[at : at + 2000]
-                u = unit(matrix(g["v"]))
-                for rep, copies, v, probed in zip(g["rep"], g["copies"], g["v"], probed_lists(u, centre, reach, least_probes), strict=True):
+            for at in range(0, len(f), 256):
+                out: dict[str, list] = {"list": [], "chunk": [], "turn": [], "member": [], "rep": [], "copies": [], "v": [], "probed": []}
+                g = f.iloc[at : at + 256]
+                x = matrix(g["v"])
+                for rep, copies, v, probed in zip(g["rep"], g["copies"], x, probed_lists(unit(x), centre, reach, least_probes), strict=True):
                     own, spread = int(probed[0]), (rep * 0x9E3779B1 >> 7) & 0x7FFFFFFF
+                    raw = v.astype(kind).tobytes()
                     to = [(own, spread % chunks[own], t, True) for t in range(turns[own])]
                     to += [(int(i), c, spread % turns[i], False) for i in probed for c in range(chunks[i])]
                     for i, c, t, member in to:
-                        for name, x in zip(out, (i, c, t, member, rep, copies, v, probed if member else probed[:1]), strict=True):
-                            out[name].append(x)
-            yield pd.DataFrame(out)
+                        for name, value in zip(out, (i, c, t, member, rep, copies, raw, probed if member else probed[:1]), strict=True):
+                            out[name].append(value)
+                yield pd.DataFrame(out)
+
+    def stored(column: pd.Series) -> np.ndarray:
+        return unit(np.frombuffer(b"".join(column), kind).reshape(len(column), width).astype(np.float64))
 
     def link(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         found: dict[str, np.ndarray] = {"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)}
         i = key[0]
         mine, asking = f[f["member"]], f[~f["member"]]
         if len(mine) and len(asking):
-            u, q = unit(matrix(mine["v"])), unit(matrix(asking["v"]))
+            u, q = stored(mine["v"]), stored(asking["v"])
             rest = u - centre[i]
             code = [np.argmin(squared_distances(rest[:, p], b), 1) for p, b in zip(parts, books, strict=True)]
             near = np.concatenate([b[c] for b, c in zip(books, code, strict=True)], 1)
@@ -163,8 +170,9 @@ def near_duplicate_vectors(
                 found = {"rep": ids, "links": links.astype(np.int64), "root": ids[roots.up]}
         return pd.DataFrame(found)
 
-    dealt = distinct.mapInPandas(
-        deal, "list int, chunk int, turn int, member boolean, rep long, copies long, v array<double>, probed array<int>"
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.repartition(tasks, "rep").mapInPandas(
+        deal, "list int, chunk int, turn int, member boolean, rep long, copies long, v binary, probed array<int>"
     )
     linked = checkpointed(dealt.groupBy("list", "chunk", "turn").applyInPandas(link, "rep long, links long, root long"))
     component = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
