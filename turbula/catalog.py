@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from turbula.plans.queries import statistics, timeaxis, transforms  # noqa: F401 - they register their queries
+from turbula.plans.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

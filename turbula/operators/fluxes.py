@@ -119,12 +119,13 @@ def eddy_partition(df: DataFrame, period: str, w: str, c: str, q: str, least_val
     marked = df.select(period, valid.alias("ok"), (up & (F.col(c) > 0)).alias("o1"), (up & (F.col(c) < 0)).alias("o2"), (F.col(w) * F.col(q)).alias("wq"), (F.col(w) * F.col(c)).alias("wc"))
     part = lambda x, o: F.coalesce(F.sum(F.when(F.col(o), F.col(x))), F.lit(0.0))
     agg = marked.groupBy(period).agg(
-        F.count("*").alias("n"), F.count_if("ok").alias("n_valid"), F.count_if("o1").alias("n1"), F.count_if("o2").alias("n2"),
-        part("wq", "o1").alias("e"), part("wq", "o2").alias("t"), part("wc", "o1").alias("r"), part("wc", "o2").alias("p"),
+        F.count("*").alias("_n"), F.count_if("ok").alias("n_valid"), F.count_if("o1").alias("n1"), F.count_if("o2").alias("n2"),
+        part("wq", "o1").alias("_e"), part("wq", "o2").alias("_t"), part("wc", "o1").alias("_r"), part("wc", "o2").alias("_p"),
     )
-    f1, f2 = F.col("n1") / F.nullif("n_valid", F.lit(0)), F.col("n2") / F.nullif("n_valid", F.lit(0))
-    fits = (F.col("n_valid") >= least_valid * F.col("n")) & (f1 + f2 >= least_both)
-    r_et, r_fc = F.when(fits & (F.col("t") != 0), F.col("e") / F.col("t")), F.when(fits & (F.col("p") != 0), F.col("r") / F.col("p"))
+    f1, f2 = F.col("n1") / F.nullif(F.col("n_valid"), F.lit(0)), F.col("n2") / F.nullif(F.col("n_valid"), F.lit(0))
+    fits = (F.col("n_valid") >= least_valid * F.col("_n")) & (f1 + f2 >= least_both)
+    r_et = F.when(fits & (F.col("_t") != 0), F.col("_e") / F.nullif(F.col("_t"), F.lit(0.0)))
+    r_fc = F.when(fits & (F.col("_p") != 0), F.col("_r") / F.nullif(F.col("_p"), F.lit(0.0)))
     out = agg.select(period, "n_valid", "n1", "n2", r_et.alias("r_et"), r_fc.alias("r_fc"), fits.alias("fits"), f1.alias("f1"), f2.alias("f2"))
 
     def status(ratio: Column) -> Column:

@@ -64,7 +64,7 @@ def exponential_average(df: DataFrame, period: str, columns: list[str], hertz: f
     A recursion, so it runs over Arrow batches of one period at a time.
     """
     keep = math.exp(-1.0 / (hertz * seconds))
-    schema = df.select("*", *[F.lit(0.0).alias(f"{c}_p") for c in columns]).schema
+    schema = df.select("*", *[F.lit(None).cast("double").alias(f"{c}_p") for c in columns]).schema
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(rec)
