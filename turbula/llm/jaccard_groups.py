@@ -1,29 +1,29 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-Documents with equal sets count as one. Two sets of Jaccard similarity of at
-least s share a token among the first |x| - ceil(s |x|) + 1 of each, in any one
-order of tokens; here rare ones come first, by a sketch of fixed size over all
-documents, then by hash. Only prefix tokens of two or more sets matter.
-
-Sets that share such tokens are partitioned into groups (by the smallest set
-that any of their tokens leads to, and by size), in blocks of bounded size. The
-token-group matrix has an entry for each token and block that holds it. A block
-is first searched within itself, then two blocks are opened against each other
-only if the matrix has a token of both, their sizes allow it and they are not
-one component already. When blocks are opened, the union of a block's tokens
-bounds each query's overlap, and only queries that pass are compared, all at
-once, by a matrix product. All links are found, but only a spanning forest of
-them is emitted.
+Documents with equal sets count as one. Each set is described by signatures,
+hashes of a few of its min-wise smallest shingles at a time; a pair at the
+threshold shares none of them with a probability below 1e-7, and only
+signatures of two or more sets matter.
+
+Sets that share signatures are partitioned into groups (by the smallest set that
+any of their signatures leads to, and by size), in blocks of bounded size. The
+token-group matrix has an entry for each signature and block that holds it. A
+block is first searched within itself, then two blocks are opened against each
+other only if the matrix has an entry of both, their sizes allow it and they are
+not one component already. When blocks are opened, the union of a block's
+shingles bounds each query's overlap, and only queries that pass are compared,
+exactly and all at once, by a matrix product. All links are found, but only a
+spanning forest of them is emitted.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,48 +33,33 @@ from turbula.llm.shared import checkpointed, written
 from turbula.llm.shingles import mixed, shingle_set
 from turbula.llm.vector_pq import Roots
 
-_SKETCH_PARTS = 64
+#: Signatures of a set.
+BANDS = 32
 
 
-def token_levels(texts: DataFrame, width: int, buckets: int) -> np.ndarray:
-    """For each bucket of tokens, the binary logarithm of the number of its tokens in all documents.
+def signature_rows(percent: int) -> int:
+    """Smallest shingles in a signature: as many as leave a pair at the threshold a chance of 0.4 for each."""
+    return max(1, int(math.log(0.4) / math.log(min(percent, 99) / 100)))
 
-    The sketch has ``buckets`` counters whatever the input: what a task emits, and
-    what is collected and broadcast, has a fixed size.
-    """
-    size = buckets // _SKETCH_PARTS
-    shift = np.uint64(64 - int(math.log2(buckets)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                tokens = shingle_set(text.as_py(), width)
-                np.add.at(total, (tokens >> shift).astype(np.int64), 1)
-        parts = [total[i * size : (i + 1) * size] for i in range(_SKETCH_PARTS)]
-        rows = [(i, p.tobytes()) for i, p in enumerate(parts) if p.any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], names=["part", "counts"])
-
-    def add(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(counts, np.int64) for counts in f["counts"]], 0)
-        return pd.DataFrame({"part": [key[0]], "counts": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
-
-    levels = np.zeros(buckets, np.uint8)
-    partial = texts.select("text").mapInArrow(count, "part int, counts binary")
-    # A task's counts for one part are one row, so a part's group has a row for each task.
-    for r in partial.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
-        levels[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
-    return levels
-
-
-def prefix_of(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of a set of which every set similar enough shares one with its own prefix."""
-    n = len(tokens)
-    count = n - -(-n * percent // 100) + 1
-    shift = np.uint64(64 - int(math.log2(len(levels))))
-    order = np.lexsort((mixed(tokens), levels[(tokens >> shift).astype(np.int64)]))
-    return tokens[order[:count]]
+
+@lru_cache(maxsize=4)
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.arange(1, n + 1, dtype=np.uint64)
+    return mixed(i) | np.uint64(1), mixed(i + np.uint64(1 << 32))
+
+
+def signatures(tokens: np.ndarray, rows: int) -> np.ndarray:
+    """Each signature's hash of the smallest shingles under ``rows`` hash functions of its own."""
+    a, b = _multipliers(BANDS * rows)
+    least = np.full(BANDS * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(tokens), 2048):
+        part = tokens[at : at + 2048]
+        # Multiplication spreads upwards: the high bits decide.
+        least = np.minimum(least, (part[:, None] * a + b).min(0))
+    value = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, rows).T:
+        value = mixed(value * np.uint64(0xD6E8FEB86659FD93) + row)
+    return value
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +153,6 @@ def jaccard_components(
     width: int = 5,
     percent: int = 80,
     block_rows: int = 96,
-    sketch_buckets: int = 1 << 20,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -182,8 +166,7 @@ def jaccard_components(
     component. Rows that repeat an id have one component, that of all their
     texts. An empty table gives an empty result. Other columns play no part.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column))
-    levels = docs.sparkSession.sparkContext.broadcast(token_levels(texts, width, sketch_buckets))
+    rows = signature_rows(percent)
 
     def describe(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
         for keys, found in blocks:
@@ -194,16 +177,16 @@ def jaccard_components(
                 turned = mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                 out[2].append(int(np.add.reduce(tokens, dtype=np.uint64).view(np.int64)) if len(tokens) else 0)
                 out[3].append(int(np.add.reduce(turned, dtype=np.uint64).view(np.int64)) if len(tokens) else 0)
-                out[4].append(prefix_of(tokens, levels.value, percent).view(np.int64) if len(tokens) else [])
+                out[4].append(signatures(tokens, rows).view(np.int64) if len(tokens) else [])
             yield out
 
     described = written(
-        map_rows(docs, [F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column)], describe, "doc_id long,n long,k1 long,k2 long,prefix array<long>")
+        map_rows(docs, [F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column)], describe, "doc_id long,n long,k1 long,k2 long,signatures array<long>")
     )
     equal = described.where("doc_id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     equal = checkpointed(equal)
     first = described.join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    entries = first.select(F.col("doc_id").alias("rep"), "n", F.explode("prefix").alias("token"))
+    entries = first.select(F.col("doc_id").alias("rep"), "n", F.explode("signatures").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min("rep").alias("lead")).where("sets > 1")
     entries = checkpointed(entries.join(shared.select("token", "lead"), "token"))
 
