@@ -82,30 +82,31 @@ def fit_bags(
     others by ``least_z`` standard errors, at most ``most`` of them. Without both
     labels there are none, and every document scores near 0.
     """
-    bags = [[set(_WORDS(m[0])) for m in _SENTENCES(t.lower())] for t in texts]
-    seen = {1: Counter(), 0: Counter()}
-    for bag, y in zip(bags, labels, strict=True):
-        seen[int(y)].update(_features(set().union(*bag)) if bag else ())
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     if not n1 or not n0:
         return ToxicityModel({}, -20.0)
+    # Texts are read again in each pass; only features that can still count are kept.
+    toxic, other = Counter(), Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if y == 1:
+            toxic.update(_features(set(_WORDS(text.lower()))))
+    toxic = {f: a for f, a in toxic.items() if a >= least_documents}
+    for text, y in zip(texts, labels, strict=True):
+        if y == 0:
+            other.update(f for f in _features(set(_WORDS(text.lower()))) if f in toxic)
     z = {}
-    for f, a in seen[1].items():
-        if a >= least_documents:
-            b = seen[0][f]
-            share = (a + b) / (n1 + n0)
-            z[f] = (a / n1 - b / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+    for f, a in toxic.items():
+        share = (a + other[f]) / (n1 + n0)
+        z[f] = (a / n1 - other[f] / n0) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
     names = [f for f, v in sorted(z.items(), key=lambda x: (-x[1], x[0])) if v >= least_z][:most]
     number = {f: i for i, f in enumerate(names)}
-    doc, sentence, feature, count = [], [], [], 0
-    owner = []
-    for d, bag in enumerate(bags):
-        for words in bag:
+    sentence, feature, owner, count = [], [], [], 0
+    for d, text in enumerate(texts):
+        for m in _SENTENCES(text.lower()):
+            found = [number[f] for f in _features(set(_WORDS(m[0]))) if f in number]
+            sentence += [count] * len(found)
+            feature += found
             owner.append(d)
-            for f in _features(words):
-                if f in number:
-                    sentence.append(count)
-                    feature.append(number[f])
             count += 1
     owner, sentence, feature = np.array(owner, int), np.array(sentence, int), np.array(feature, int)
     y = (labels == 1).astype(float)
