@@ -141,7 +141,7 @@ def qc_higher_moments(spark, sf_dir):
 
 
 @query(f"""
-WITH {SIG}, k AS (SELECT *, count(*) OVER (PARTITION BY p) // 6 AS size FROM sig), c AS (SELECT p, (rec - 1) // size AS part, covar_pop(w, x) AS cov FROM k WHERE size > 0 AND (rec - 1) // size < 6 GROUP BY ALL),
+WITH {SIG}, k AS (SELECT *, count(*) OVER (PARTITION BY p) // 6 AS size FROM sig), c AS (SELECT p, (rec - 1) // nullif(size, 0) AS part, covar_pop(w, x) AS cov FROM k WHERE size > 0 AND (rec - 1) // nullif(size, 0) < 6 GROUP BY ALL),
 i AS (SELECT p, avg(cov) AS inner_cov FROM c GROUP BY p), f AS (SELECT p, covar_pop(w, x) AS cov FROM sig GROUP BY p)
 SELECT f.p, {r('cov')} AS cov, CASE WHEN cov <> 0 THEN CAST(floor(abs((inner_cov - cov) / cov) * 100) AS BIGINT) END AS deviation FROM f LEFT JOIN i ON f.p = i.p""")
 def qc_stationarity(spark, sf_dir):
@@ -210,7 +210,7 @@ def qc_discontinuities(spark, sf_dir):
 
 @query(f"""
 WITH {SIG}, n AS (SELECT p, w, x, count(*) OVER (PARTITION BY p) AS n, rec - 1 AS z FROM sig),
-k AS (SELECT p, w, x, z // (n // 6) AS i, (z - (z // (n // 6)) * (n // 6)) // ((n // 6) // 6) AS j FROM n WHERE (n // 6) // 6 > 0),
+k AS (SELECT p, w, x, z // nullif(n // 6, 0) AS i, (z - (z // nullif(n // 6, 0)) * (n // 6)) // nullif((n // 6) // 6, 0) AS j FROM n WHERE (n // 6) // 6 > 0),
 c AS (SELECT p, i, j, covar_pop(w, x) AS c FROM k WHERE i BETWEEN 0 AND 5 AND j BETWEEN 0 AND 5 GROUP BY ALL),
 s AS (SELECT p, i, avg(c) AS m, coalesce(stddev_samp(c), 0) AS s FROM c GROUP BY ALL)
 SELECT p, {r('sum(s) / 6 / sqrt(6.0::DOUBLE)')} AS uncertainty, {r('CASE WHEN sum(s) > 0 THEN stddev_samp(m) / (sum(s) / 6 / sqrt(6.0::DOUBLE)) END')} AS ratio FROM s GROUP BY p""")
