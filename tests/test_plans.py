@@ -17,7 +17,7 @@ def records(spark):
     for p in (0, 1):
         w = rng.normal(size=600) * 0.3
         for i in range(600):
-            rows.append((p, i + 1, 3 + rng.normal() * 0.5 - 0.4 * w[i], rng.normal() * 0.5, float(w[i]), 293 + 0.2 * w[i], 16 - 0.1 * w[i], 500 + 2 * w[i]))
+            rows.append((p, i + 1, *map(float, (3 + rng.normal() * 0.5 - 0.4 * w[i], rng.normal() * 0.5, w[i], 293 + 0.2 * w[i], 16 - 0.1 * w[i], 500 + 2 * w[i]))))
     return spark.createDataFrame(rows, "period long, rec long, u double, v double, w double, ts double, co2 double, h2o double")
 
 

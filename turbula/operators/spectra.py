@@ -61,8 +61,8 @@ def cospectra(df: DataFrame, period: str, rec: str, pairs: list[tuple[str, str]]
         for a, b in pairs:
             if a in series and b in series:
                 freq, density = one_sided_density(series[a], series[b], hertz, w)
-                parts.append(pd.DataFrame({period: k[0], "pair": f"{a}_{b}", "freq": freq, "density": density}))
-        return pd.concat(parts) if parts else pd.DataFrame({period: [], "pair": [], "freq": [], "density": []})
+                parts.append(pd.DataFrame({period: [k[0]] * len(freq), "pair": [f"{a}_{b}"] * len(freq), "freq": freq, "density": density}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series([], dtype=t) for c, t in ((period, object), ("pair", object), ("freq", float), ("density", float))})
 
     return df.select(period, rec, *names).groupBy(period).applyInPandas(run, f"{period} {key}, pair string, freq double, density double")
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turbula.sources.metadata import SiteInfo, read_site
@@ -74,7 +74,7 @@ def read_text(spark: SparkSession, path: str, columns: list[str], separator: str
 
     A record's number counts the rows that are kept, in the order of the file.
     """
-    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
     lines = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("_line", "_text"))
     parts = F.split(F.trim("_text"), r"\s+" if separator in ("space", " ") else re.escape({"tab": "\t", "comma": ",", "semicolon": ";"}.get(separator, separator)))
     first = 1 if label else 0
@@ -82,8 +82,6 @@ def read_text(spark: SparkSession, path: str, columns: list[str], separator: str
     if label:
         kept = kept.where(F.element_at("_p", 1) == label)
     kept = kept.where(F.size("_p") >= len(columns) + first)
-    from pyspark.sql import Window
-
     rec = F.row_number().over(Window.partitionBy("file").orderBy("_line")).cast("long")
     values = [F.expr(f"try_cast(trim(_p[{i + first}]) as double)").alias(c) for i, c in enumerate(columns) if c != "ignore"]
     return kept.select("file", rec.alias("rec"), *values)
