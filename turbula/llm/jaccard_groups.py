@@ -117,35 +117,46 @@ def _forest(reps: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[to != ids], "b": to[to != ids]})
 
 
-def id_filter(ids: DataFrame, column: str, n: int, most_bits: int = 1 << 27):
-    """A condition on another table's id column that holds for all ``ids`` and few others.
+class IdFilter:
+    """Holds for all ids of a table and for few others.
 
     The bits are 16 for each id, at most ``most_bits``: that bounds what is
     collected and broadcast. Null ids do not pass.
     """
-    bits = min(most_bits, 1 << max(16, (16 * max(1, n) - 1).bit_length()))
 
-    def place(key: Column) -> Column:
-        return F.pmod(F.xxhash64(key.cast("long")), F.lit(bits))
+    def __init__(self, ids: DataFrame, column: str, n: int, most_bits: int = 1 << 27):
+        self.bits = min(most_bits, 1 << max(16, (16 * max(1, n) - 1).bit_length()))
 
-    def fill(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        marks = np.zeros(1 << 15, bool)
-        marks[f["place"].to_numpy(np.int64) & 0x7FFF] = True
-        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(marks).tobytes()]})
+        def fill(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+            marks = np.zeros(1 << 15, bool)
+            marks[f["place"].to_numpy(np.int64) & 0x7FFF] = True
+            return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(marks).tobytes()]})
 
-    places = ids.select(place(F.col(column)).alias("place")).distinct()
-    parts = places.groupBy((F.col("place") / (1 << 15)).cast("int").alias("part")).applyInPandas(fill, "part int, bits binary")
-    mask = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():
-        mask[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    held = ids.sparkSession.sparkContext.broadcast(mask)
+        places = ids.select(self.place(F.col(column)).alias("place")).distinct()
+        parts = places.groupBy((F.col("place") / (1 << 15)).cast("int").alias("part")).applyInPandas(fill, "part int, bits binary")
+        mask = np.zeros(self.bits // 8, np.uint8)
+        for r in parts.collect():
+            mask[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+        self.held = ids.sparkSession.sparkContext.broadcast(mask)
 
-    @F.pandas_udf("boolean")
-    def known(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+    def place(self, key: Column) -> Column:
+        """Where the bit of an id is; null for a null id."""
+        return F.when(key.isNotNull(), F.pmod(F.xxhash64(key.cast("long")), F.lit(self.bits)))
 
-    return lambda key: F.coalesce(known(F.coalesce(place(key), F.lit(0))) & key.isNotNull(), F.lit(False))
+    def known(self, place: int | None) -> bool:
+        """Whether the bit at a place is set, inside a task."""
+        return place is not None and bool(self.held.value[place >> 3] >> (7 - (place & 7)) & 1)
+
+    def column(self, key: Column) -> Column:
+        """The same as a condition on a column."""
+        held = self.held
+
+        @F.pandas_udf("boolean")
+        def known(at: pd.Series) -> pd.Series:
+            at = at.to_numpy(np.int64)
+            return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+        return F.coalesce(known(F.coalesce(self.place(key), F.lit(0))) & key.isNotNull(), F.lit(False))
 
 
 def jaccard_components(
@@ -200,13 +211,16 @@ def jaccard_components(
     member = checkpointed(group.join(sizes, ["lead", "span"]).select("rep", "span", "head", "lead", "parts", block.alias("block")))
     n_members = member.count()
 
-    is_member = id_filter(member, "rep", n_members)
+    is_member = IdFilter(member, "rep", n_members)
 
     def to_sets(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
-        for keys, found in blocks:
-            yield [keys, [shingle_set(t, width).tobytes() for t in found]]
+        for keys, places, found in blocks:
+            kept = [i for i, p in enumerate(places) if is_member.known(p)]
+            yield [[keys[i] for i in kept], [shingle_set(found[i], width).tobytes() for i in kept]]
 
-    candidates = map_rows(docs.where(is_member(F.col(id_column))), [F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column)], to_sets, "doc_id long,tokens binary")
+    # The filter is asked where the sets are made: a second Python operator in the stage would double the workers.
+    key = F.col(id_column).cast("long")
+    candidates = map_rows(docs, [key.alias("doc_id"), is_member.place(key).alias("place"), whole_text(text_column)], to_sets, "doc_id long,tokens binary")
     sets = written(candidates.join(member.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"))
 
     def within(f: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +273,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str
     """
     found = jaccard_components(docs, width, percent, id_column=id_column, text_column=text_column)
     gone = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
-    maybe = id_filter(gone, "doc_id", gone.count())(F.col(id_column))
+    maybe = IdFilter(gone, "doc_id", gone.count()).column(F.col(id_column))
     # Only the few rows that the filter marks are shuffled for the exact answer.
     checked = docs.where(maybe).join(gone, docs[id_column].cast("long") == gone["doc_id"], "left_anti")
     return docs.where(~maybe).unionByName(checked)
