@@ -82,7 +82,7 @@ def fuzzy_spans(text: bytes, notices: list[_Notice]) -> list[tuple[int, int, str
     """Byte spans (start, end, label, edits) of the notices in a lower-case text, sorted."""
     found = set()
     for n in notices:
-        k, tried = n.edits, -1
+        k, tried = n.edits, -n.length - 1  # before any begin
         begins = set()
         for seed, at in n.seeds:
             i = text.find(seed)

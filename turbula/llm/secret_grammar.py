@@ -220,7 +220,7 @@ def find_secrets(text: bytes, model: FormatModel, threshold: float) -> tuple[lis
 def scan_secrets(
     docs: DataFrame,
     labelled: Iterable[tuple[str, str]] | None = None,
-    threshold: float = 0.45,
+    threshold: float = 0.1,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -262,7 +262,7 @@ def scan_secrets(
 def redact_secrets(
     docs: DataFrame,
     labelled: Iterable[tuple[str, str]] | None = None,
-    threshold: float = 0.45,
+    threshold: float = 0.1,
     mask: str = "[SECRET]",
     text_column: str = "text",
     length_column: str = "n_chars",

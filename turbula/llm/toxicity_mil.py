@@ -25,6 +25,13 @@ _WORD = rb"[A-Za-z\x80-\xff]+"
 _WORDS = re.compile(_WORD).findall
 #: Lengths, in bytes, of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
+_CAPITALS = re.compile(rb"\xc3[\x80-\x9e]")
+
+
+def lowered(text: bytes) -> bytes:
+    """A-Z and the accented capitals of Western Europe in lower case; every byte keeps its place."""
+    low = text.lower()
+    return _CAPITALS.sub(lambda m: bytes((0xC3, m[0][1] + 0x20)), low) if b"\xc3" in low else low
 
 
 def _features(words: set[bytes]) -> set[bytes]:
@@ -51,7 +58,7 @@ class ToxicityModel:
 
     def sentences(self, text: bytes) -> tuple[list[tuple[int, int, float]], int]:
         """Byte spans and probabilities of the sentences with features, and how many have none."""
-        low = text.lower()
+        low = lowered(text)
         plain = 1 + low.count(b".") + low.count(b"!") + low.count(b"?") + low.count(b"\n")
         if not self.find or not any(s in low for s in self.starts):
             return [], plain
@@ -89,11 +96,11 @@ def fit_bags(
     toxic, other = Counter(), Counter()
     for text, y in zip(texts, labels, strict=True):
         if y == 1:
-            toxic.update(_features(set(_WORDS(text.lower()))))
+            toxic.update(_features(set(_WORDS(lowered(text)))))
     toxic = {f: a for f, a in toxic.items() if a >= least_documents}
     for text, y in zip(texts, labels, strict=True):
         if y == 0:
-            other.update(f for f in _features(set(_WORDS(text.lower()))) if f in toxic)
+            other.update(f for f in _features(set(_WORDS(lowered(text)))) if f in toxic)
     z = {}
     for f, a in toxic.items():
         share = (a + other[f]) / (n1 + n0)
@@ -102,7 +109,7 @@ def fit_bags(
     number = {f: i for i, f in enumerate(names)}
     sentence, feature, owner, count = [], [], [], 0
     for d, text in enumerate(texts):
-        for m in _SENTENCES(text.lower()):
+        for m in _SENTENCES(lowered(text)):
             found = [number[f] for f in _features(set(_WORDS(m[0]))) if f in number]
             sentence += [count] * len(found)
             feature += found
