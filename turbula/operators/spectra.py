@@ -38,18 +38,20 @@ def one_sided_density(x: np.ndarray, y: np.ndarray, hertz: float, window: np.nda
     return np.fft.rfftfreq(n, 1 / hertz)[1:], density[1:]
 
 
-def cospectra(df: DataFrame, period: str, rec: str, pairs: list[tuple[str, str]], hertz: float, window: str = "hamming", max_missing: float = 1 / 3) -> DataFrame:
+def cospectra(df: DataFrame, period: str, rec: str, pairs: list[tuple[str, str]], hertz: float, window: str = "hamming", max_missing: float = 1 / 3, cut_to_power_of_two: bool = False) -> DataFrame:
     """Long table ``period, pair, freq, density`` of one-sided densities of column pairs (a pair of one column is its spectrum).
 
     Gaps are interpolated linearly; a variable with more than ``max_missing`` of
-    its records missing has no spectrum. One period at a time is in memory.
+    its records missing has no spectrum. All records of a period are transformed;
+    with ``cut_to_power_of_two`` only the first of them, as many as the largest
+    power of two. One period at a time is in memory.
     """
     names = sorted({c for p in pairs for c in p})
     key = df.schema[period].dataType.simpleString()
 
     def run(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(rec)
-        n = power_of_two(len(f)) if len(f) > 4096 else len(f)
+        n = power_of_two(len(f)) if cut_to_power_of_two else len(f)
         series = {}
         for c in names:
             x = f[c].to_numpy(float)[:n]
