@@ -2,9 +2,10 @@
 
 A document is a bag of sentences. A sentence is toxic with probability
 sigmoid(bias + weights of its words and word beginnings); a document is toxic if
-any sentence is, by noisy-or: P = 1 - product of (1 - p). Only documents have
-labels, and the loss is theirs; the learned sentence probabilities then locate
-the offending sentences.
+any sentence is, by noisy-or: P = 1 - product of (1 - p). Sentences without a
+feature say nothing, however many they are: together they count as one, with the
+probability of the bias. Only documents have labels, and the loss is theirs; the
+learned sentence probabilities then locate the offending sentences.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from turbula.llm.quality_bt import labelled_texts
 from turbula.llm.rows import keep_rows, map_rows, whole_text
 
 _SENTENCES = re.compile(rb"[^.!?\n]+").finditer
+#: What a sentence has that is not empty.
+_FILLED = re.compile(rb"[^.!?\s]").search
 _WORD = rb"[A-Za-z\x80-\xff]+"
 _WORDS = re.compile(_WORD).findall
 #: Lengths, in bytes, of the word beginnings that are features.
@@ -56,28 +59,29 @@ class ToxicityModel:
         z = self.bias + sum(self.weights.get(f, 0.0) for f in _features(words))
         return 1 / (1 + np.exp(-min(max(z, -500.0), 500.0)))
 
-    def sentences(self, text: bytes) -> tuple[list[tuple[int, int, float]], int]:
-        """Byte spans and probabilities of the sentences with features, and how many have none."""
+    def sentences(self, text: bytes) -> tuple[list[tuple[int, int, float]], bool]:
+        """Byte spans and probabilities of the sentences with features, and whether any other is not empty."""
         low = lowered(text)
-        plain = 1 + low.count(b".") + low.count(b"!") + low.count(b"?") + low.count(b"\n")
-        if not self.find or not any(s in low for s in self.starts):
-            return [], plain
-        hits = [(m.start(), m[0]) for m in self.find(low)]
-        found, i = [], 0
-        for m in _SENTENCES(low) if hits else ():
+        hits = [(m.start(), m[0]) for m in self.find(low)] if self.find and any(s in low for s in self.starts) else []
+        if not hits:
+            return [], bool(_FILLED(low))
+        found, i, plain = [], 0, False
+        for m in _SENTENCES(low):
             words = set()
             while i < len(hits) and hits[i][0] < m.end():
                 words.add(hits[i][1])
                 i += 1
-            if words:
+            if any(f in self.weights for f in _features(words)):
                 found.append((*m.span(), float(self.sentence(words))))
-        return found, max(0, plain - len(found))
+            else:
+                plain = plain or bool(_FILLED(m[0]))
+        return found, plain
 
     def document(self, text: bytes) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or of a text and its sentences with features."""
         found, plain = self.sentences(text)
-        calm = plain * np.log1p(-1 / (1 + np.exp(-self.bias))) + sum(np.log1p(-min(p, 1 - 1e-12)) for *_, p in found)
-        return float(-np.expm1(calm)), found
+        calm = int(plain) * np.log1p(-1 / (1 + np.exp(-self.bias))) + sum(np.log1p(-min(p, 1 - 1e-12)) for *_, p in found)
+        return float(abs(np.expm1(calm))), found
 
 
 def fit_bags(
@@ -109,8 +113,13 @@ def fit_bags(
     number = {f: i for i, f in enumerate(names)}
     sentence, feature, owner, count = [], [], [], 0
     for d, text in enumerate(texts):
+        plain = False
         for m in _SENTENCES(lowered(text)):
             found = [number[f] for f in _features(set(_WORDS(m[0]))) if f in number]
+            if not found:
+                if plain or not _FILLED(m[0]):
+                    continue
+                plain = True
             sentence += [count] * len(found)
             feature += found
             owner.append(d)
