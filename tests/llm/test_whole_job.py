@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from turbula.llm import toxicity_mil
+from turbula.llm import html_mincut, toxicity_mil
 
 
 def test_long_clean_texts_are_not_toxic():
@@ -18,3 +18,36 @@ def test_long_clean_texts_are_not_toxic():
     assert model.document(b"")[0] == model.document(b" ...\n!? ")[0] == 0
     words = toxicity_mil.ToxicityModel({b"vile": 8.0}, -9.0)
     assert words.document(b"vileness is no feature. " * 100_000)[0] == pytest.approx(1 / (1 + np.exp(9.0)))
+
+
+TEXT = "<p>The first paragraph has words enough, and it ends well.</p><p>The second one, which is as long as that, does so too.</p>"
+MAIN = "The first paragraph has words enough, and it ends well.\nThe second one, which is as long as that, does so too."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='no-sidebar'><article>{TEXT}</article></body>",
+        f"<body class=sidebar>{TEXT}</body>",
+        f"<div class='content has-sidebar'>{TEXT}</div>",
+        f"<div id=menu-page><article>{TEXT}</article></div>",
+        f"<div class='widget'><article>{TEXT}</article></div><div class=comments><p>{'Nice text, I liked it a lot. ' * 30}</p></div>",
+        f"<form><div>{TEXT}</div></form>",
+        f"<aside><article>A teaser, short.</article></aside><article>{TEXT}</article><div class=site-footer>All rights are reserved.</div>",
+        f"<head><title>T</title><style>p{{}}</style><article>{TEXT}</article>",
+        *(f"<article><{x}>{TEXT}</article>" for x in ("button", "object", "svg", "select", "iframe", "noscript")),
+        f"<article>{TEXT}</article><script>var x = 1;",
+    ],
+)
+def test_no_name_or_open_tag_loses_the_article(page):
+    assert html_mincut.main_text(page, html_mincut.DEFAULT_WEIGHTS) == MAIN
+
+
+def test_heading_of_an_article():
+    page = f"<article><div class='article-header'><h1>The title</h1></div>{TEXT}</article>"
+    assert html_mincut.main_text(page, html_mincut.DEFAULT_WEIGHTS) == "The title\n" + MAIN
+
+
+def test_articles_in_boxes_by_name():
+    page = "".join(f"<div class=widget><article>{TEXT}</article></div>" for _ in range(3))
+    assert html_mincut.main_text(page, html_mincut.DEFAULT_WEIGHTS) == "\n".join([MAIN] * 3)

@@ -52,6 +52,11 @@ BOILERPLATE_NAMES = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
+#: A class of which these come first tells about the page rather than its element.
+ABOUT_THE_PAGE = frozenset("has no with without not hide show".split())
+#: Elements whose text is code: without an end tag, they last to the end of the page.
+CODE = frozenset("script style".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -68,35 +73,76 @@ class Block:
     shape: list[float] = field(default_factory=list)
 
 
-def _hint(name: str, attributes: str, inside: int) -> int:
-    """What an element says about the text in it, given what its ancestors say."""
-    if inside < 0:
-        return -1
-    if name == "header" and inside > 0:  # an article's own heading
-        return inside
-    if name in BOILERPLATE_ELEMENTS:
-        return -1
+def _boilerplate(word: str) -> str:
+    """The boilerplate name that a class or id is or ends with, as in site-footer; else nothing."""
+    if word in BOILERPLATE_NAMES:
+        return word
+    parts = _PARTS.split(word)
+    return parts[-1] if parts[-1] in BOILERPLATE_NAMES and parts[0] not in ABOUT_THE_PAGE else ""
+
+
+@dataclass
+class Element:
+    parent: int
+    name: str
+    content: int  # 2 an article or main, 1 by a class or id, 0 neither
+    boilerplate: int  # 2 by its element or role, 1 by a class or id, 0 neither
+    heading: bool  # boilerplate as a header, and nothing else
+    size: int = 0  # characters of text in it
+    main: int = 0  # of them in an article or main
+    hint: int = 0
+
+
+def _element(parent: int, name: str, attributes: str) -> Element:
+    content, told = 2 * (name in CONTENT_ELEMENTS), [(2, name)] if name in BOILERPLATE_ELEMENTS else []
     if attributes and "=" in attributes:
         for m in _NAMES.finditer(attributes):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if kind == "role":
-                if value in BOILERPLATE_ROLES:
-                    return -1
-                inside = 1 if value in ("main", "article") else inside
+                told += [(2, value)] if value in BOILERPLATE_ROLES else []
+                content = 2 if value in ("main", "article") else content
                 continue
             for word in value.split():
-                if word in BOILERPLATE_NAMES or not BOILERPLATE_NAMES.isdisjoint(_PARTS.split(word)):
-                    return -1
-                if word in CONTENT_NAMES:
-                    inside = 1
-    return 1 if name in CONTENT_ELEMENTS else inside
+                told += [(1, x)] if (x := _boilerplate(word)) else []
+                content = max(content, int(word in CONTENT_NAMES))
+    return Element(parent, name, content, max((k for k, _ in told), default=0), all(x == "header" for _, x in told))
+
+
+def _hints(elements: list[Element], blocks: list[Block], owners: list[int]) -> None:
+    """What the ancestors of each block say about it.
+
+    An element with more than half of the text of articles and main, or of the
+    page where there are none, is no boilerplate, whatever it is called. A header
+    in content is its heading. An article in boilerplate by name is content; in
+    a boilerplate element, like a teaser in an aside, it is not, but main is.
+    """
+    for b, k in zip(blocks, owners, strict=True):
+        elements[k].size += len(b.text)
+    for e in reversed(elements[1:]):
+        if e.content == 2:
+            e.main = e.size
+        elements[e.parent].size += e.size
+        elements[e.parent].main += e.main
+    whole = elements[0]
+    for e in elements[1:]:
+        inside = elements[e.parent].hint
+        most = 2 * e.main > whole.main if whole.main else 2 * e.size > whole.size
+        told = 0 if e.name in ("html", "body") or most or (e.heading and inside > 0) else e.boilerplate
+        if inside < 0 and not (e.content == 2 and not told and (inside == -1 or e.name == "main")):
+            e.hint = inside
+        else:
+            e.hint = -told or (1 if e.content else inside)
+    for b, k in zip(blocks, owners, strict=True):
+        b.hint = max(-1, elements[k].hint)
 
 
 def read_blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order; unclosed and crossed elements are borne with."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, number, hint
-    number, text, links, link = 0, [], 0, False
+    stack: list[tuple[str, int]] = [("", 0)]  # name, number
+    elements, owners = [Element(0, "", 0, 0, False)], []
+    endless: set[str] = set()  # of which no end tag follows
+    text, links, link = [], 0, False
     at = 0
 
     def finish() -> None:
@@ -107,7 +153,8 @@ def read_blocks(page: str) -> list[Block]:
             if joined:
                 top = len(stack) - 1
                 own = top if stack[top][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "th", "dd", "dt", "blockquote") else top + 1
-                blocks.append(Block(joined, min(links, len(joined)), stack[max(0, own - 1)][1], own, stack[top][0][:1] == "h" and stack[top][0][1:].isdigit(), stack[top][2]))
+                blocks.append(Block(joined, min(links, len(joined)), stack[max(0, own - 1)][1], own, stack[top][0][:1] == "h" and stack[top][0][1:].isdigit(), 0))
+                owners.append(stack[top][1])
         text, links = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -125,9 +172,12 @@ def read_blocks(page: str) -> list[Block]:
         closing = bool(m[1])
         if name in RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                body = re.compile(r"<body[\s>]", re.I).search(page, at) if name == "head" and not end else None
-                at = end.end() if end else body.start() if body else len(page)
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if name not in endless else None
+                if end:
+                    at = end.end()
+                else:  # only the tag goes; what else belongs in a head is left out by itself
+                    endless.add(name)
+                    at = len(page) if name in CODE else at
             continue
         if name in INLINE:
             if name == "a":
@@ -147,8 +197,8 @@ def read_blocks(page: str) -> list[Block]:
         while len(stack) > 1 and stack[-1][0] in ends:
             stack.pop()
         if name not in VOID and not m[3].endswith("/"):
-            number += 1
-            stack.append((name, number, _hint(name, m[3], stack[-1][2])))
+            elements.append(_element(stack[-1][1], name, m[3]))
+            stack.append((name, len(elements) - 1))
     if at < len(page):
         rest = page[at:]
         cut = rest.rfind("<")
@@ -156,6 +206,7 @@ def read_blocks(page: str) -> list[Block]:
             rest = rest[:cut]
         text.append(rest)
     finish()
+    _hints(elements, blocks, owners)
     for i, b in enumerate(blocks):
         b.shape = _shape(b, i, len(blocks))
     return blocks
