@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from turbula.llm import html_mincut, toxicity_mil
+from turbula.llm import html_mincut, secret_grammar, toxicity_mil
 
 
 def test_long_clean_texts_are_not_toxic():
@@ -51,3 +51,34 @@ def test_heading_of_an_article():
 def test_articles_in_boxes_by_name():
     page = "".join(f"<div class=widget><article>{TEXT}</article></div>" for _ in range(3))
     assert html_mincut.main_text(page, html_mincut.DEFAULT_WEIGHTS) == "\n".join([MAIN] * 3)
+
+
+BEFORE = ["", "example/x/", "https/a-b_c/", "key_", "hooks/", "my-"]
+
+
+@pytest.mark.parametrize("before", BEFORE)
+def test_credentials_behind_other_words(before):
+    model = secret_grammar.FormatModel(secret_grammar.labelled_credentials())
+    unseen = [before + c for _, c in secret_grammar.labelled_credentials(per_format=30, seed=99)]
+    found = [secret_grammar.find_secrets(f"see https://{c} now".encode(), model, 0.1)[1] for c in unseen]
+    hits = [any(a <= 12 + len(before) and b == 12 + len(c) for a, b, _ in f) for c, f in zip(unseen, found, strict=True)]
+    assert sum(hits) >= 0.95 * len(hits)
+
+
+def test_credentials_without_digits():
+    model = secret_grammar.FormatModel(secret_grammar.labelled_credentials())
+    letters = "AbCdEfGhIjKlMnOpQrStUvWxYzaBcDeFgHiJ"
+    for c in ("sk_live_" + letters[:24], "x/sk_live_" + letters[-24:], "ghp_" + letters):
+        assert secret_grammar.find_secrets(c.encode(), model, 0.1)[1]
+    for word in b"internationalization usr/local/share/applications AbstractSingletonProxyFactoryBean CONFIGURATION_DEFAULT_VALUE INTERNATIONALIZATION some_function_name_in_python".split() + [b"-" * 40, b"_" * 40]:
+        assert not secret_grammar.find_secrets(word, model, 0.1)[1]
+
+
+def test_starts_share_their_ways():
+    model = secret_grammar.FormatModel(secret_grammar.labelled_credentials(per_format=60))
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        token = "".join(rng.choice(list("aZ9f-/_+k"), int(rng.integers(16, 60)))).encode()
+        starts = [i for i in range(len(token) - 15) if not i or token[i - 1 : i] in (b"-", b"/", b"_", b"+")]
+        passing = [i for i in starts if model.score(token[i:])[0] >= 0.1]
+        assert model.first(token, 0.1) == (passing[0] if passing else -1)

@@ -4,9 +4,10 @@ For each format the labelled credentials are put into a prefix tree of
 character classes. States whose counts of next symbols and endings differ by
 less than the Hoeffding bound, and whose successors do so too, are merged
 (red-blue order), which gives a deterministic probabilistic automaton of the
-format. Every candidate token of every text is scored by the mean
-log-likelihood ratio per character of its best automaton against the better of two
-backgrounds, ordinary words and ordinary numbers.
+format. Every candidate token of every text, and every end of one that begins
+behind a joining mark (/ _ - +), is scored by the mean log-likelihood ratio per
+character of its best automaton against the best of three backgrounds, ordinary
+words, ordinary numbers and words in capitals.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+").finditer
 _HEX = re.compile(rb"[0-9a-f]{24,}").finditer
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}").finditer
-_HAS_DIGIT = re.compile(rb"[0-9]").search
+#: Characters of a candidate at least, without its equals signs.
+LEAST = 16
+_JOINING = re.compile(rb"[/_+-]").finditer
 
 
 def _class(b: int) -> str:
@@ -60,11 +63,14 @@ def _class(b: int) -> str:
 
 _CLASSES = bytes(ord(_class(b)) if b < 128 else 63 for b in range(256))
 
-# Shares of character classes in ordinary tokens: words and names, numbers and dates.
+# Shares of character classes in ordinary tokens: words and names, numbers and dates, words in capitals.
 _ORDINARY = (
     {"l": 0.52, "h": 0.28, "U": 0.06, "H": 0.03, "d": 0.05, "_": 0.02, "-": 0.02, "/": 0.01, "+": 0.005, "=": 0.005},
     {"d": 0.92, "-": 0.04, "/": 0.02, "_": 0.005, "+": 0.005, "h": 0.003, "l": 0.003, "U": 0.002, "H": 0.001, "=": 0.001},
+    {"U": 0.7, "H": 0.24, "_": 0.02, "-": 0.015, "/": 0.01, "l": 0.005, "h": 0.003, "+": 0.003, "=": 0.003, "d": 0.001},
 )
+_ORDINARY_LOGS = tuple({c: math.log(p) for c, p in share.items()} for share in _ORDINARY)
+_STRANGE = math.log(0.001)
 
 
 def symbols(token: bytes) -> str:
@@ -147,6 +153,27 @@ class FormatAutomaton:
             at = self.next[at][c]
         return total + self.log[at].get("", self.log[at][None])
 
+    def from_place(self, s: str, i: int, known: dict[tuple[int, int], float]) -> float:
+        """``likelihood(s[i:])``; ``known`` keeps it by state and place for other starts in ``s``."""
+        at, steps = 0, []
+        while (at, i) not in known:
+            log = self.log[at]
+            if i == len(s):
+                total = log.get("", log[None])
+                break
+            c = s[i]
+            if c not in self.next[at]:
+                total = log.get(c, log[None]) + (len(s) - i) * math.log(0.02)
+                break
+            steps.append((at, i, log.get(c, log[None])))
+            at, i = self.next[at][c], i + 1
+        else:
+            total = known[at, i]
+        for at, i, x in reversed(steps):
+            total += x
+            known[at, i] = total
+        return total
+
 
 def labelled_credentials(per_format: int = 300, seed: int = 7) -> list[tuple[str, str]]:
     """(label, credential) examples of the public formats; the bound is ``per_format``."""
@@ -163,6 +190,7 @@ class FormatModel:
             by.setdefault(label, []).append(symbols(text.encode()))
         self.automata = {label: FormatAutomaton(texts) for label, texts in sorted(by.items())}
         self.seen: dict[str, tuple[float, str]] = {}
+        self.begun: dict[tuple[str, float], int] = {}
 
     def score(self, token: bytes) -> tuple[float, str]:
         """The best mean log-likelihood ratio per character, and its label."""
@@ -174,6 +202,42 @@ class FormatModel:
             self.seen[s] = max(((a.likelihood(s) - ordinary) / max(1, len(s)), k) for k, a in self.automata.items())
         return self.seen[s]
 
+    def first(self, token: bytes, threshold: float) -> int:
+        """Where in a run of characters a credential begins that lasts to its end: at 0 or behind a joining mark; -1 for nowhere.
+
+        Takes time in proportion to the run, as the starts share their ways.
+        """
+        s = symbols(token)
+        key = (s, threshold)
+        if key not in self.begun:
+            begun = self._first(s, len(token.rstrip(b"=")) - LEAST, threshold)
+            if len(s) > 200:  # hardly seen again, and large to keep
+                return begun
+            if len(self.begun) > 50_000:
+                self.begun.clear()
+            self.begun[key] = begun
+        return self.begun[key]
+
+    def _first(self, s: str, last: int, threshold: float) -> int:
+        starts = [0, *sorted({m.end() for m in _JOINING(s.encode())} - {0})]
+        starts = [i for i in starts if i <= last]
+        rest = []  # of each background, the log-likelihood from each place on
+        for logs in _ORDINARY_LOGS:
+            sums = [0.0]
+            for c in reversed(s):
+                sums.append(sums[-1] + logs.get(c, _STRANGE))
+            rest.append(sums[::-1])
+        ordinary = {i: max(sums[i] for sums in rest) for i in starts}
+        best = -1
+        for a in self.automata.values():
+            known: dict[tuple[int, int], float] = {}
+            for i in starts:
+                if 0 <= best <= i:
+                    break
+                if a.from_place(s, i, known) - ordinary[i] >= threshold * (len(s) - i):
+                    best = i
+        return best
+
 
 @lru_cache(maxsize=2)
 def _model(labelled: tuple[tuple[str, str], ...]) -> FormatModel:
@@ -211,9 +275,9 @@ def find_secrets(text: bytes, model: FormatModel, threshold: float) -> tuple[lis
     base = base_spans(text)
     more = []
     for m in _CANDIDATE(text):
-        token = m[0]
-        if _HAS_DIGIT(token) and model.score(token)[0] >= threshold:
-            more.append((m.start(), m.end(), "grammar"))
+        i = model.first(m[0], threshold)
+        if i >= 0:
+            more.append((m.start() + i, m.end(), "grammar"))
     return base, base + more
 
 
@@ -228,7 +292,8 @@ def scan_secrets(
 
     ``labelled`` (label, credential) pairs train the automata; by default
     examples of public formats, a bounded number of each. A candidate is a token
-    of 16 or more credential characters with a digit in it; all are scored.
+    of 16 or more credential characters, or an end of one behind a joining mark;
+    all are scored, and the first start that passes counts.
 
     Returns ``doc_id, n_assign, n_access, n_hex, base_sha256`` (of the base
     spans), ``spans`` (all, ``kind:start:end`` comma-joined by start, in code
