@@ -53,7 +53,7 @@ def test_pair_index_in_small_and_large_rounds():
 
 
 def pack(df, **more):
-    return packing_dp.pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **more)
+    return packing_dp.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, **more)
 
 
 @pytest.mark.parametrize("block", [3000, 1_000_000])
@@ -85,6 +85,24 @@ def test_packing_keeps_every_id_once(mixed_docs, block):
             assert sum(len(ids) for *_, ids in pieces[i]) == sum(map(len, all_ids))
 
 
+def test_long_white_space_is_encoded_as_the_library_does():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), packing_dp.ByteCoder(path, public_tokenizers.PATTERN)
+    many = 1_000_000
+    long = [" " * many + "\n" * many, " " * many + "x", "a" + "\n" * many + "b", "a." + " " * 3000 + "\n\u00a0 it's", " " * 2000 + "<|endoftext|>" + "\t" * 2000 + "<|endoftext|> y"]
+    rng = np.random.default_rng(0)
+    long += ["".join(rng.choice(["\u2003", " ", "\n", "\x1c"], 2500)) + "ab" + " " * int(n) + "c" for n in rng.integers(990, 1010, 8)]
+    for text in long:
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_is_packed(make_docs):
+    many = 2_000_000
+    got = pack(make_docs([(1, " " * many + "\n" * many), (2, "x"), (3, None)])).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3}
+    assert all(sum(r["length"] for r in got if r["doc_id"] == i) == next(r["doc_tokens"] for r in got if r["doc_id"] == i) for i in (1, 2, 3))
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(4)
     costs = packing_dp.PackingCosts()
@@ -95,7 +113,7 @@ def test_cuts_are_the_cheapest():
 
         def price(a, b, position=position, penalty=penalty, limit=limit):
             n = int(position[b] - position[a])
-            pad = 0 if n in (64, 128) else limit - n
+            pad = 0 if n & (n - 1) == 0 else limit - n
             return pad + costs.sequence + penalty[b] if n <= limit else np.inf
 
         best = [0.0] + [np.inf] * 25

@@ -66,7 +66,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_dp.pack_documents(
         table(spark, sf_dir, "documents"),
-        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.PATTERN,
     )
 
