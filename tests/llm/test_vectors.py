@@ -63,7 +63,7 @@ def test_a_scan_abandons_only_what_is_far():
 
 
 def test_near_duplicate_vectors(spark, vectors):
-    got = {r["vec_id"]: r for r in vector_pq.near_duplicate_vectors(table(spark, vectors), list_rows=30, chunk_rows=25, chunk_probes=50).collect()}
+    got = {r["vec_id"]: r for r in vector_pq.near_duplicate_vectors(table(spark, vectors), cell_rows=30, chunk_rows=25, chunk_probes=50).collect()}
     assert len(got) == len(vectors)
     rows = sound(vectors)
     ids, x = [i for i, _ in rows], np.array([v for _, v in rows])
@@ -83,6 +83,29 @@ def test_near_duplicate_vectors(spark, vectors):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("most_lists", [4096, 20])
+def test_links_at_the_threshold_in_64_dimensions(spark, most_lists):
+    """Pairs of cosine 0.9 to 0.92 among vectors that are otherwise far apart, with cells in one level and in two."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(600, 64))
+    side -= (side * x[:600]).sum(1, keepdims=True) * x[:600]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.92, (600, 1))
+    x = np.concatenate([x, c * x[:600] + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_pq.near_duplicate_vectors(df, most_lists=most_lists).where("n_links > 0").collect()
+    assert all(r["n_links"] == 1 and r["component_id"] in (r["vec_id"], r["vec_id"] - 12_000) for r in got)
+    assert len(got) >= 0.9 * 1200
+
+
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in vector_pq.near_duplicate_vectors(df).collect())
+    assert got == [("1", 1, 1), ("1", 1, 1), ("2", 1, 1), ("3", 1, 1), ("None", 0, None)]
+
+
 def test_no_vectors(spark, vectors):
     none = table(spark, vectors).where("vec_id < 0")
     assert vector_pq.near_duplicate_vectors(none).count() == 0

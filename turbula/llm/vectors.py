@@ -76,3 +76,54 @@ def coarse_lists(vectors: DataFrame, n: int, list_rows: int, most_lists: int, sa
     centre = k_means(x, max(1, min(most_lists, n // list_rows, len(x))))
     own = np.argmin(squared_distances(x, centre), 1)
     return CoarseLists(centre, x, own, n / max(1, len(x)))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Inverted lists in two levels: the coarse centres, and in each the same centres of what is left over.
+
+    A cell's number is its list's times the number of second centres, plus that
+    of its second centre. With one second centre, at the origin, lists are cells.
+    """
+
+    centre: np.ndarray
+    second: np.ndarray
+    sample: np.ndarray
+    scale: float  # rows that a row of the sample stands for
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest cells of each row, nearest first: of all lists, or of the cells of the nearest lists."""
+        k = len(self.second)
+        d = squared_distances(x, self.centre)
+        lists = _smallest(d, min(probes, len(self.centre)))
+        if k == 1:
+            return lists
+        rest = x[:, None, :] - self.centre[lists]
+        far = squared_distances(rest.reshape(-1, x.shape[1]), self.second).reshape(len(x), -1)
+        best = _smallest(far, min(probes, far.shape[1]))
+        return np.take_along_axis(lists, best // k, 1) * k + best % k
+
+    def centre_of(self, cell: int) -> np.ndarray:
+        return self.centre[cell // len(self.second)] + self.second[cell % len(self.second)]
+
+
+def _smallest(d: np.ndarray, n: int) -> np.ndarray:
+    """The columns of the ``n`` smallest values of each row, in order."""
+    part = np.argpartition(d, n - 1, 1)[:, :n] if n < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), 1, kind="stable"), 1)
+
+
+def cells(vectors: DataFrame, n: int, cell_rows: int, most_lists: int, most_second: int, sample: int) -> Cells:
+    """Cells of about ``cell_rows`` unit vectors, however many there are, up to ``most_lists * most_second`` cells.
+
+    Both levels are trained on at most ``sample`` rows; every row is put into a
+    cell later. Up to ``most_lists`` cells, one level does.
+    """
+    x = unit(matrix(r["v"] for r in bounded_sample(vectors.select("v"), ["v"], sample, n)))
+    wanted = max(1, n // cell_rows)
+    first = max(1, min(wanted, most_lists, len(x) // 4))
+    centre = k_means(x, first)
+    second = min(most_second, -(-wanted // first), len(x))
+    rest = x - centre[np.argmin(squared_distances(x, centre), 1)]
+    books = k_means(rest, second, seed=5) if second > 1 else np.zeros((1, x.shape[1]))
+    return Cells(centre, books, x, n / max(1, len(x)))
