@@ -54,12 +54,42 @@ def test_fewer_candidates_than_asked(spark):
 
 def test_a_scan_abandons_only_what_is_far():
     rng = np.random.default_rng(5)
-    x, q = rng.normal(size=(500, 64)), rng.normal(size=64)
+    x, q = rng.normal(size=(500, 64)), rng.normal(size=(3, 64))
     x[250:] *= 6
-    d = ((x - q) ** 2).sum(1)
-    bound = np.sort(d)[9]
-    left = ann_scan.scan_list(x, q, np.arange(500), bound, [8, 16, 32, 64], 3.0)
-    assert len(set(np.flatnonzero(d <= bound)) & set(left.tolist())) >= 9 and len(left) < 300
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    bound = np.sort(d, 1)[:, 9]
+    who, row = ann_scan.scan_list(x, q, bound, [8, 16, 32, 64], 3.0)
+    for i in range(3):
+        assert set(row[who == i].tolist()) >= set(np.flatnonzero(d[i] <= bound[i]).tolist()) or len(row[who == i]) >= 9
+        assert len(row[who == i]) < 30
+
+
+def test_neighbours_in_64_even_dimensions(spark):
+    """The hardest case for an index, and null and repeated ids."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (100, x[7].tolist()), (5, x[200].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_scan.nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect()
+    ids, y = np.array([i for i, _ in rows if i is not None]), np.array([v for i, v in rows if i is not None])
+    hits = 0
+    for key in range(0, 6000, 100):
+        every = ((y - np.array(min(y[ids == key].tolist()))) ** 2).sum(1)
+        d = np.array([np.sqrt(every[ids == i].min()) if i != key else np.inf for i in range(6000)])
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == key)
+        assert [k for k, _ in mine] == list(range(1, 11))
+        hits += len({i for _, i in mine} & set(np.lexsort((np.arange(6000), d))[:10].tolist()))
+    assert hits >= 0.9 * 600
+
+
+def test_few_lists_are_probed_where_vectors_cluster():
+    rng = np.random.default_rng(3)
+    for spread, least, most in ((0.05, 1, 8), (3.0, 20, 60)):
+        centre = rng.normal(size=(60, 32))
+        x = centre[rng.integers(0, 60, 3000)] + spread * rng.normal(size=(3000, 32))
+        own = np.argmin(((x[:, None] - centre) ** 2).sum(2), 1)
+        lists = ann_scan.CoarseLists(centre, x, own, 1.0)
+        assert least <= ann_scan.probes_for(lists, 10, 0.97, 1) <= most
 
 
 def test_near_duplicate_vectors(spark, vectors):

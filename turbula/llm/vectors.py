@@ -69,10 +69,9 @@ class CoarseLists:
         return np.bincount(self.own, minlength=len(self.centre)) * self.scale
 
 
-def coarse_lists(vectors: DataFrame, n: int, list_rows: int, most_lists: int, sample: int, normalise: bool) -> CoarseLists:
-    """Lists of about ``list_rows`` rows, trained on at most ``sample`` rows; every row is put into one later."""
+def coarse_lists(vectors: DataFrame, n: int, list_rows: int, most_lists: int, sample: int) -> CoarseLists:
+    """Lists of about ``list_rows`` rows of column ``v``, trained on at most ``sample`` of them; every row is put into one later."""
     x = matrix(r["v"] for r in bounded_sample(vectors.select("v"), ["v"], sample, n))
-    x = unit(x) if normalise else x
     centre = k_means(x, max(1, min(most_lists, n // list_rows, len(x))))
     own = np.argmin(squared_distances(x, centre), 1)
     return CoarseLists(centre, x, own, n / max(1, len(x)))
@@ -95,19 +94,19 @@ class Cells:
         """The ``probes`` nearest cells of each row, nearest first: of all lists, or of the cells of the nearest lists."""
         k = len(self.second)
         d = squared_distances(x, self.centre)
-        lists = _smallest(d, min(probes, len(self.centre)))
+        lists = smallest(d, min(probes, len(self.centre)))
         if k == 1:
             return lists
         rest = x[:, None, :] - self.centre[lists]
         far = squared_distances(rest.reshape(-1, x.shape[1]), self.second).reshape(len(x), -1)
-        best = _smallest(far, min(probes, far.shape[1]))
+        best = smallest(far, min(probes, far.shape[1]))
         return np.take_along_axis(lists, best // k, 1) * k + best % k
 
     def centre_of(self, cell: int) -> np.ndarray:
         return self.centre[cell // len(self.second)] + self.second[cell % len(self.second)]
 
 
-def _smallest(d: np.ndarray, n: int) -> np.ndarray:
+def smallest(d: np.ndarray, n: int) -> np.ndarray:
     """The columns of the ``n`` smallest values of each row, in order."""
     part = np.argpartition(d, n - 1, 1)[:, :n] if n < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
     return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), 1, kind="stable"), 1)
