@@ -8,8 +8,12 @@ parent are the smoothness costs. The maximum flow's cut separates content from
 boilerplate with the least sum of classifier and smoothness costs.
 
 The classifier is a logistic regression on the shape of blocks (length, links,
-punctuation), trained on a bounded sample of pages whose own semantic elements
-label their blocks, plus fixed log-odds of those elements.
+punctuation, and the same of all blocks of their parent), trained on a bounded
+sample of pages whose own semantic elements label their blocks. What elements,
+classes and roles say is evidence of fixed log-odds beside it: an article alone
+does not make a block content, nor a class boilerplate, if shape and
+neighbourhood say otherwise. Edges are halved where one of two blocks is under
+another telling element than the other.
 """
 
 from __future__ import annotations
@@ -57,7 +61,12 @@ ABOUT_THE_PAGE = frozenset("has no with without not hide show".split())
 #: Elements whose text is code: without an end tag, they last to the end of the page.
 CODE = frozenset("script style".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)(>|\Z)"
+    # A quote that nothing closes: the tag ends at the next >.
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(>|\Z)",
+    re.S,
+)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -69,7 +78,8 @@ class Block:
     parent: int
     depth: int
     heading: bool
-    hint: int  # of the nearest telling ancestor: 1 content, -1 boilerplate, 0 none
+    hint: int  # of the nearest telling ancestor: over 0 content, below boilerplate, 0 none; 2 by element or role, 1 by name
+    teller: int = 0  # that ancestor
     shape: list[float] = field(default_factory=list)
 
 
@@ -91,6 +101,7 @@ class Element:
     size: int = 0  # characters of text in it
     main: int = 0  # of them in an article or main
     hint: int = 0
+    teller: int = 0  # which element the hint is of
 
 
 def _element(parent: int, name: str, attributes: str) -> Element:
@@ -124,16 +135,17 @@ def _hints(elements: list[Element], blocks: list[Block], owners: list[int]) -> N
         elements[e.parent].size += e.size
         elements[e.parent].main += e.main
     whole = elements[0]
-    for e in elements[1:]:
+    for number, e in enumerate(elements[1:], 1):
         inside = elements[e.parent].hint
         most = 2 * e.main > whole.main if whole.main else 2 * e.size > whole.size
         told = 0 if e.name in ("html", "body") or most or (e.heading and inside > 0) else e.boilerplate
         if inside < 0 and not (e.content == 2 and not told and (inside == -1 or e.name == "main")):
-            e.hint = inside
+            own = 0
         else:
-            e.hint = -told or (1 if e.content else inside)
+            own = -told or e.content
+        e.hint, e.teller = (own, number) if own else (inside, elements[e.parent].teller)
     for b, k in zip(blocks, owners, strict=True):
-        b.hint = max(-1, elements[k].hint)
+        b.hint, b.teller = elements[k].hint, elements[k].teller
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -166,12 +178,13 @@ def read_blocks(page: str) -> list[Block]:
             if link:
                 links += len(piece)
         at = m.end()
-        name = (m[2] or "").lower()
-        if not name or (not m[4] and m[4] is not None):  # a comment, or a tag cut off by the page's end
+        slash, name, attributes, end_mark = m.group(1, 2, 3, 4) if m[2] else m.group(5, 6, 7, 8)
+        name = (name or "").lower()
+        if not name or not end_mark:  # a comment, or a tag cut off by the page's end
             continue
-        closing = bool(m[1])
+        closing = bool(slash)
         if name in RAW:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at) if name not in endless else None
                 if end:
                     at = end.end()
@@ -196,8 +209,8 @@ def read_blocks(page: str) -> list[Block]:
         ends = IMPLIED_END.get(name) or (("p",) if name in ENDS_PARAGRAPH else ())
         while len(stack) > 1 and stack[-1][0] in ends:
             stack.pop()
-        if name not in VOID and not m[3].endswith("/"):
-            elements.append(_element(stack[-1][1], name, m[3]))
+        if name not in VOID and not attributes.endswith("/"):
+            elements.append(_element(stack[-1][1], name, attributes))
             stack.append((name, len(elements) - 1))
     if at < len(page):
         rest = page[at:]
@@ -207,15 +220,20 @@ def read_blocks(page: str) -> list[Block]:
         text.append(rest)
     finish()
     _hints(elements, blocks, owners)
-    for i, b in enumerate(blocks):
-        b.shape = _shape(b, i, len(blocks))
+    family: dict[int, list[int]] = {}  # of each parent: words, characters of links and of text
+    for b in blocks:
+        sums = family.setdefault(b.parent, [0, 0, 0])
+        for k, x in enumerate((b.text.count(" ") + 1, b.links, len(b.text))):
+            sums[k] += x
+    for b in blocks:
+        b.shape = _shape(b, *family[b.parent])
     return blocks
 
 
-SHAPE = ("bias", "log_words", "link_share", "marks", "heading", "capitals", "ends_sentence")
+SHAPE = ("bias", "log_words", "link_share", "marks", "heading", "capitals", "ends_sentence", "family_log_words", "family_link_share")
 
 
-def _shape(b: Block, i: int, n: int) -> list[float]:
+def _shape(b: Block, words_of_all: int, links_of_all: int, size_of_all: int) -> list[float]:
     words = b.text.split(" ")
     return [
         1.0,
@@ -225,11 +243,13 @@ def _shape(b: Block, i: int, n: int) -> list[float]:
         float(b.heading),
         sum(w[:1].isupper() for w in words) / len(words),
         float(b.text[-1] in ".!?"),
+        math.log1p(words_of_all),
+        links_of_all / max(1, size_of_all),
     ]
 
 
 #: Log-odds by shape where no sample of pages can train them.
-DEFAULT_WEIGHTS = (-2.0, 1.0, -4.0, 1.0, 0.5, -0.5, 1.0)
+DEFAULT_WEIGHTS = (-3.0, 0.7, -3.0, 1.0, 0.5, -0.5, 1.0, 0.4, -2.0)
 
 
 def fit_shapes(pages: list[str], rounds: int = 200) -> tuple[float, ...]:
@@ -252,24 +272,36 @@ def fit_shapes(pages: list[str], rounds: int = 200) -> tuple[float, ...]:
 class CutCosts:
     """Log-odds of telling ancestors, the bound of the classifier's, and the smoothness costs."""
 
-    content: float = 6.0
-    boilerplate: float = 14.0
-    shape_bound: float = 4.0
-    neighbour: float = 1.5
-    parent: float = 1.0
+    content: float = 3.5
+    content_name: float = 1.0
+    boilerplate: float = 7.0
+    boilerplate_name: float = 4.0
+    shape_bound: float = 3.0
+    neighbour: float = 2.0
+    parent: float = 1.5
+
+    def evidence(self, hint: int) -> float:
+        by = (self.content_name, self.content) if hint > 0 else (-self.boilerplate_name, -self.boilerplate)
+        return by[abs(hint) - 1] if hint else 0.0
+
+
+def block_odds(blocks: list[Block], weights: tuple[float, ...], costs: CutCosts) -> list[float]:
+    """The classifier's log-odds of each block alone."""
+    found = []
+    for b in blocks:
+        z = sum(map(float.__mul__, weights, b.shape))
+        found.append(max(-costs.shape_bound, min(costs.shape_bound, z)) + costs.evidence(b.hint))
+    return found
 
 
 def label_blocks(blocks: list[Block], weights: tuple[float, ...], costs: CutCosts = CutCosts()) -> list[bool]:
     """Which blocks are content, by the minimum cut."""
     n = len(blocks)
-    excess = [0.0] * n  # over 0: left of the capacity from the source; below: of that to the sink
-    for i, b in enumerate(blocks):
-        z = sum(map(float.__mul__, weights, b.shape))
-        z = max(-costs.shape_bound, min(costs.shape_bound, z))
-        excess[i] = z + (costs.content if b.hint > 0 else -costs.boilerplate if b.hint < 0 else 0.0)
+    excess = block_odds(blocks, weights, costs)  # over 0: left of the capacity from the source; below: of that to the sink
     edges: list[dict[int, float]] = [{} for _ in range(n)]
 
     def join(i: int, j: int, cost: float) -> None:
+        cost *= 1.0 if blocks[i].teller == blocks[j].teller else 0.5
         edges[i][j] = edges[i].get(j, 0.0) + cost
         edges[j][i] = edges[j].get(i, 0.0) + cost
 
