@@ -82,13 +82,22 @@ def test_automata_tell_credentials_from_words():
     unseen = secret_grammar.labelled_credentials(per_format=50, seed=99)
     hits = [model.score(t.encode())[0] >= 0.1 for _, t in unseen]
     assert sum(hits) >= 0.95 * len(hits)
+    assert all(len(a.next) <= 75 for a in model.automata.values())
+    assert len(model.automata["github"].next) == 41 and len(model.automata["aws-secret"].next) == 41 and len(model.automata["sha256"].next) == 65
+    letters = "ghp_" + "AbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGhIj"
+    assert model.score(letters.encode())[0] >= 0.1  # a digit is not needed, the right length is
+    assert model.score((letters + "kLm").encode())[0] < model.score(letters.encode())[0]
+    assert model.score(b"INVOICE-2024-000123-ABCD")[0] < 0
     plain = ["internationalization2", "2024-01-01-2025-12-31", "chapter-12-of-the-long-book", "1234567890123456", "well-known-phrase-2"]
     assert not any(model.score(t.encode())[0] >= 0.1 for t in plain)
 
 
 def test_merging_keeps_probabilities_proper():
     a = secret_grammar.FormatAutomaton(["d" * n for n in range(1, 40)])
-    assert len(a.next) > 1 and a.likelihood("ddd") > a.likelihood("UUU")
+    assert a.likelihood("ddd") > a.likelihood("UUU")
+    fixed = secret_grammar.FormatAutomaton(["dUd", "UUd", "ddd", "dUU", "UdU", "UUU", "ddU", "Udd"] * 40)
+    assert len(fixed.next) == 4  # a state for each place and no more
+    assert fixed.likelihood("dUd") > fixed.likelihood("dUdU") and fixed.likelihood("dUd") > fixed.likelihood("dU")
 
 
 def test_redaction(make_docs):

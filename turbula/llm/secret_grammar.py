@@ -1,10 +1,11 @@
 """Secret scans: fixed rules, and probabilistic automata inferred from labelled credentials.
 
 For each format the labelled credentials are put into a prefix tree of
-character classes. States whose counts of next symbols and endings differ by
-less than the Hoeffding bound, and whose successors do so too, are merged
-(red-blue order), which gives a deterministic probabilistic automaton of the
-format. Every candidate token of every text, and every end of one that begins
+character classes. States whose shares of next symbols, endings and remaining
+lengths differ by less than the Hoeffding bound, and whose successors do so too,
+are compatible; each state is merged with the compatible one of the most similar
+remaining length (red-blue order). That gives a deterministic probabilistic
+automaton of the format that knows how long a credential is. Every candidate token of every text, and every end of one that begins
 behind a joining mark (/ _ - +), is scored by the mean log-likelihood ratio per
 character of its best automaton against the best of three backgrounds, ordinary
 words, ordinary numbers and words in capitals.
@@ -28,20 +29,20 @@ from turbula.llm.rows import map_rows, whole_text
 # Kinds of spans in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "grammar")
 
-# Public credential formats as (label, prefix, alphabet, length of the rest).
+# Public credential formats as (label, prefix, alphabet, least and most length of the rest).
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGITS
 FORMATS = (
-    ("aws-access", "AKIA", _UPPER + _DIGITS, 16),
-    ("aws-secret", "", _ALNUM + "+/", 40),
-    ("github", "ghp_", _ALNUM, 36),
-    ("slack", "xoxb-", _DIGITS + _LOWER, 40),
-    ("stripe", "sk_live_", _ALNUM, 24),
-    ("google-api", "AIza", _ALNUM + "_-", 35),
-    ("md5", "", _DIGITS + "abcdef", 32),
-    ("sha1", "", _DIGITS + "abcdef", 40),
-    ("sha256", "", _DIGITS + "abcdef", 64),
-    ("short-hex", "", _DIGITS + "abcdef", 18),
+    ("aws-access", "AKIA", _UPPER + _DIGITS, 16, 16),
+    ("aws-secret", "", _ALNUM + "+/", 40, 40),
+    ("github", "ghp_", _ALNUM, 36, 36),
+    ("slack", "xoxb-", _DIGITS + _LOWER, 40, 52),
+    ("stripe", "sk_live_", _ALNUM, 24, 34),
+    ("google-api", "AIza", _ALNUM + "_-", 35, 35),
+    ("md5", "", _DIGITS + "abcdef", 32, 32),
+    ("sha1", "", _DIGITS + "abcdef", 40, 40),
+    ("sha256", "", _DIGITS + "abcdef", 64, 64),
+    ("short-hex", "", _DIGITS + "abcdef", 16, 30),
 )
 
 _ASSIGN = re.compile(
@@ -80,21 +81,26 @@ def symbols(token: bytes) -> str:
 class FormatAutomaton:
     """A deterministic probabilistic automaton over character classes."""
 
-    def __init__(self, samples: Iterable[str], alpha: float = 0.05):
+    def __init__(self, samples: Iterable[str], alpha: float = 0.01):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[Counter] = [Counter()]  # symbol -> passes; "" -> endings
+        self.left: list[Counter] = [Counter()]  # remaining length -> passes
         for s in samples:
             at = 0
-            for c in s:
+            for i, c in enumerate(s):
                 self.count[at][c] += 1
+                self.left[at][len(s) - i] += 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.count.append(Counter())
+                    self.left.append(Counter())
                 at = self.next[at][c]
             self.count[at][""] += 1
+            self.left[at][0] += 1
         self.alpha = alpha
         self._merge()
+        self._drop_unused()
         self.log = []
         for n in self.count:
             total = sum(n.values()) + 0.5 * (len(_ORDINARY[0]) + 1)
@@ -102,13 +108,30 @@ class FormatAutomaton:
                 {c: math.log((n[c] + 0.5) / total) for c in n} | {None: math.log(0.5 / total)}
             )
 
+    def _bound(self, n: int, m: int) -> float:
+        return math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def _as_long(self, a: int, b: int) -> bool:
+        """Whether the distributions of the remaining lengths are compatible."""
+        n, m = self.left[a].total(), self.left[b].total()
+        gap = most = 0.0
+        for k in sorted({*self.left[a], *self.left[b]}):
+            gap += self.left[a][k] / n - self.left[b][k] / m
+            most = max(most, abs(gap))
+        return most <= self._bound(n, m)
+
+    def _mean_left(self, a: int) -> float:
+        return sum(k * n for k, n in self.left[a].items()) / self.left[a].total()
+
     def _alike(self, a: int, b: int) -> bool:
+        if not self._as_long(a, b):
+            return False
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
             n, m = sum(self.count[a].values()), sum(self.count[b].values())
             if n and m:
-                bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+                bound = self._bound(n, m)
                 if any(abs(self.count[a][c] / n - self.count[b][c] / m) > bound for c in {*self.count[a], *self.count[b]}):
                     return False
             stack += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()]
@@ -120,6 +143,7 @@ class FormatAutomaton:
         while stack:
             a, b = stack.pop()
             self.count[a] += self.count[b]
+            self.left[a] += self.left[b]
             for c, to in self.next[b].items():
                 if c in self.next[a]:
                     stack.append((self.next[a][c], to))
@@ -133,7 +157,8 @@ class FormatAutomaton:
             state = self.next[source][c]
             if state in red:
                 continue
-            for r in red:
+            mean = self._mean_left(state)
+            for r in sorted(red, key=lambda r: abs(self._mean_left(r) - mean)):
                 if self._alike(r, state):
                     self.next[source][c] = r
                     self._fold(r, state)
@@ -142,6 +167,18 @@ class FormatAutomaton:
                 red.append(state)
             blue = [(r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in red]
 
+    def _drop_unused(self) -> None:
+        """Keep the states that the first one leads to."""
+        order = [0]
+        for a in order:
+            for _, to in sorted(self.next[a].items()):
+                if to not in order:
+                    order.append(to)
+        place = {a: i for i, a in enumerate(order)}
+        self.next = [{c: place[to] for c, to in self.next[a].items()} for a in order]
+        self.count = [self.count[a] for a in order]
+        self.left = [self.left[a] for a in order]
+
     def likelihood(self, s: str) -> float:
         """Log-likelihood, the ending included."""
         at, total = 0, 0.0
@@ -175,10 +212,10 @@ class FormatAutomaton:
         return total
 
 
-def labelled_credentials(per_format: int = 300, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_credentials(per_format: int = 400, seed: int = 7) -> list[tuple[str, str]]:
     """(label, credential) examples of the public formats; the bound is ``per_format``."""
     rng = random.Random(seed)
-    return [(name, prefix + "".join(rng.choices(letters, k=n))) for name, prefix, letters, n in FORMATS for _ in range(per_format)]
+    return [(name, prefix + "".join(rng.choices(letters, k=rng.randint(least, most)))) for name, prefix, letters, least, most in FORMATS for _ in range(per_format)]
 
 
 class FormatModel:
@@ -300,12 +337,12 @@ def scan_secrets(
     points, end exclusive) and ``n_grammar``.
 
     Null and empty texts: no spans, the digest of an empty string. A null id is
-    kept. Repeated rows are scanned each. Other columns play no part.
+    kept. Repeated rows are scanned each. An empty table gives an empty result.
+    Other columns play no part.
     """
-    examples = tuple(labelled) if labelled is not None else tuple(labelled_credentials())
+    model = _model(tuple(labelled) if labelled is not None else tuple(labelled_credentials()))
 
     def run(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
-        model = _model(examples)
         for keys, texts in blocks:
             out: list[list] = [[] for _ in range(7)]
             for key, text in zip(keys, texts, strict=True):
@@ -335,16 +372,15 @@ def redact_secrets(
     """The same table with every secret in its texts replaced by ``mask``; no row goes.
 
     Overlapping spans are replaced together. A text without secrets, null and
-    empty ones included, stays as it is. ``length_column``, where it exists, is
+    empty ones included, stays as it is, and so does an empty table. ``length_column``, where it exists, is
     brought up to date.
     """
-    examples = tuple(labelled) if labelled is not None else tuple(labelled_credentials())
+    model = _model(tuple(labelled) if labelled is not None else tuple(labelled_credentials()))
     names = docs.columns
 
     def run(batches):
         import pyarrow as pa
 
-        model = _model(examples)
         for batch in batches:
             at = batch.schema.get_field_index(text_column)
             texts = batch.column(at).to_pylist()
