@@ -1,29 +1,37 @@
-"""N-gram Jaccard self-join by a token-group matrix.
-
-Documents with equal sets count as one. Each set is described by signatures,
-hashes of a few of its min-wise smallest shingles at a time; a pair at the
-threshold shares none of them with a probability below 1e-7, and only
-signatures of two or more sets matter.
-
-Sets that share signatures are partitioned into groups (by the smallest set that
-any of their signatures leads to, and by size), in blocks of bounded size. The
-token-group matrix has an entry for each signature and block that holds it. A
-block is first searched within itself, then two blocks are opened against each
-other only if the matrix has an entry of both, their sizes allow it and they are
-not one component already. When blocks are opened, the union of a block's
-shingles bounds each query's overlap, and only queries that pass are compared,
-exactly and all at once, by a matrix product. All links are found, but only a
-spanning forest of them is emitted.
+"""N-gram Jaccard self-join by a token-group matrix, exact.
+
+Documents with equal sets count as one. A set x can only be linked with sets
+that hold, together, at least the threshold's share of its tokens:
+
+    |x & y| >= t |x | y| >= t |x|
+
+so the share of x in the union of a group bounds its similarity with every
+member from above. The bound is asked three times, each time of smaller groups:
+
+1. The group of all other sets. Tokens are dealt by hash; where they meet, it is
+   seen which occur in two sets or more; sets with too few of those are linked
+   with nothing. This is asked of all sets and again of those that it leaves.
+2. Groups of similar sets, in blocks of bounded size: sets that share a token
+   among their first |x| - ceil(t |x|) + 1 (linked sets always do), and are of
+   about the same size. The token-group matrix has an entry for each such token
+   and block that holds it. Each block is searched within itself; two blocks are
+   a case for the bound only if the matrix has a token of both, their sizes allow
+   a link and they are not one component already. Each block's token union is
+   stored; queries of one block are held against the union of the other.
+3. Within an opened block, the sets that are left, until nothing changes; then
+   their overlaps are counted exactly, all at once, by a matrix product.
+
+All links are found, but only a spanning forest of them is emitted.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,34 +41,6 @@ from turbula.llm.shared import checkpointed, written
 from turbula.llm.shingles import mixed, shingle_set
 from turbula.llm.vector_pq import Roots
 
-#: Signatures of a set.
-BANDS = 32
-
-
-def signature_rows(percent: int) -> int:
-    """Smallest shingles in a signature: as many as leave a pair at the threshold a chance of 0.4 for each."""
-    return max(1, int(math.log(0.4) / math.log(min(percent, 99) / 100)))
-
-
-@lru_cache(maxsize=4)
-def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.arange(1, n + 1, dtype=np.uint64)
-    return mixed(i) | np.uint64(1), mixed(i + np.uint64(1 << 32))
-
-
-def signatures(tokens: np.ndarray, rows: int) -> np.ndarray:
-    """Each signature's hash of the smallest shingles under ``rows`` hash functions of its own."""
-    a, b = _multipliers(BANDS * rows)
-    least = np.full(BANDS * rows, np.iinfo(np.uint64).max)
-    for at in range(0, len(tokens), 2048):
-        part = tokens[at : at + 2048]
-        # Multiplication spreads upwards: the high bits decide.
-        least = np.minimum(least, (part[:, None] * a + b).min(0))
-    value = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, rows).T:
-        value = mixed(value * np.uint64(0xD6E8FEB86659FD93) + row)
-    return value
-
 
 def linked_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j), i < j, of similar enough sets; with ``side`` only pairs of different sides.
@@ -159,11 +139,116 @@ class IdFilter:
         return F.coalesce(known(F.coalesce(self.place(key), F.lit(0))) & key.isNotNull(), F.lit(False))
 
 
+def sets_of(
+    docs: DataFrame, width: int, id_column: str, text_column: str, among: IdFilter | None = None
+) -> tuple[list[Column], Callable[[list[list]], tuple[list, list[np.ndarray]]]]:
+    """Columns of ``docs`` for :func:`map_rows`, and what turns a block of them into ids and shingle sets; of ids ``among`` only."""
+    key = F.col(id_column).cast("long")
+    columns = [key.alias("doc_id"), (among.place(key) if among else F.lit(None).cast("long")).alias("place"), whole_text(text_column)]
+
+    def read(block: list[list]) -> tuple[list, list[np.ndarray]]:
+        keys, places, texts = block
+        kept = range(len(keys)) if among is None else [i for i, p in enumerate(places) if among.known(p)]
+        return [keys[i] for i in kept], [shingle_set(texts[i], width) for i in kept]
+
+    return columns, read
+
+
+def plausible_sets(
+    docs: DataFrame, width: int, percent: int, among: IdFilter, n_tokens: int, id_column: str, text_column: str, block_tokens: int = 2_000_000
+) -> DataFrame:
+    """``doc_id`` of the sets of which ``percent`` of the tokens occur in other sets, too; of ids ``among``.
+
+    A task deals the tokens of a block of sets by hash. Those that several of its
+    sets hold need no answer and are sent once; each other one is sent with the
+    number of its set. Where a bucket's tokens meet, those of two blocks are
+    marked, and each block gets the number of marked tokens of its sets back.
+    Tokens are compared by 32 bits within a bucket; equal ones of different
+    tokens only make more sets plausible.
+    """
+    bits = max(6, math.ceil(math.log2(max(1, n_tokens) / (1 << 22))))
+    columns, read = sets_of(docs, width, id_column, text_column, among)
+
+    def deal(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 32
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+        def short(x: np.ndarray) -> np.ndarray:
+            return (x << np.uint64(bits) >> np.uint64(32)).astype("<u4")
+
+        def cut(x: np.ndarray) -> np.ndarray:
+            return np.append(np.searchsorted(x, edges), len(x))
+
+        def emit(ids: list[int], sets: list[np.ndarray]) -> list[list]:
+            size = np.array([len(s) for s in sets], np.int64)
+            owner = np.repeat(np.arange(len(sets)), size).astype("<u2")
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            times = np.diff(np.append(start, len(flat)))
+            alone = np.repeat(times == 1, times)
+            several = flat[start[times > 1]]
+            local = np.bincount(owner[~alone], minlength=len(sets)).astype("<i8")
+            flat, owner = flat[alone], owner[alone]
+            rows = [(number & ((1 << bits) - 1), True, np.array(ids, "<i8").tobytes(), size.astype("<i8").tobytes(), local.tobytes())]
+            x, y, at, of = short(flat), short(several), cut(flat), cut(several)
+            for k in range(1 << bits):
+                if at[k] < at[k + 1] or of[k] < of[k + 1]:
+                    rows.append((k, False, x[at[k] : at[k + 1]].tobytes(), owner[at[k] : at[k + 1]].tobytes(), y[of[k] : of[k + 1]].tobytes()))
+            return [list(c) for c in zip(*[(r[0], number, *r[1:]) for r in rows], strict=True)]
+
+        held_ids, held, total = [], [], 0
+        for block in blocks:
+            for i, tokens in zip(*read(block), strict=True):
+                if len(tokens):
+                    held_ids.append(i)
+                    held.append(tokens)
+                    total += len(tokens)
+                if total >= block_tokens or len(held) == 1 << 16:
+                    yield emit(held_ids, held)
+                    number += 1
+                    held_ids, held, total = [], [], 0
+        if held:
+            yield emit(held_ids, held)
+
+    def answer(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        """Passes the blocks' lists of sets on, and answers for each block's tokens in this bucket."""
+        lists, cells = f[f["listing"]], f[~f["listing"]]
+        out = lists[["block", "listing", "a", "b", "c"]]
+        if not len(cells):
+            return out
+        token = np.frombuffer(b"".join(cells["a"]), "<u4")
+        owner = np.frombuffer(b"".join(cells["b"]), "<u2").astype(np.int64)
+        several = np.unique(np.frombuffer(b"".join(cells["c"]), "<u4"))
+        cell = np.repeat(np.arange(len(cells)), [len(x) >> 2 for x in cells["a"]])
+        _, where, times = np.unique(token, return_inverse=True, return_counts=True)
+        marked = (times[where] > 1) | np.isin(token, several)
+        found, count = np.unique((cell[marked] << 16) + owner[marked], return_counts=True)
+        at = np.searchsorted(found, np.arange(len(cells) + 1) << 16)
+        back = [(int(b), False, (found[i:j] & 0xFFFF).astype("<u2").tobytes(), count[i:j].astype("<i8").tobytes(), b"") for b, i, j in zip(cells["block"], at, at[1:]) if i < j]
+        return pd.concat([out, pd.DataFrame(back, columns=out.columns)]) if back else out
+
+    def decide(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        listing = f[f["listing"]].iloc[0]
+        ids, size, shared = (np.frombuffer(listing[c], "<i8") for c in "abc")
+        shared = shared.copy()
+        for owner, count in zip(f.loc[~f["listing"], "a"], f.loc[~f["listing"], "b"]):
+            shared[np.frombuffer(owner, "<u2")] += np.frombuffer(count, "<i8")
+        return pd.DataFrame({"doc_id": ids[shared * 100 >= size * percent]})
+
+    dealt = map_rows(docs, columns, deal, "bucket int,block long,listing boolean,a binary,b binary,c binary")
+    answered = dealt.groupBy("bucket").applyInPandas(answer, "block long, listing boolean, a binary, b binary, c binary")
+    return answered.groupBy("block").applyInPandas(decide, "doc_id long")
+
+
 def jaccard_components(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
     block_rows: int = 96,
+    block_tokens: int = 200_000,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -176,52 +261,60 @@ def jaccard_components(
     and link with nothing. A row without an id links with nothing and has a null
     component. Rows that repeat an id have one component, that of all their
     texts. An empty table gives an empty result. Other columns play no part.
+
+    A block holds about ``block_rows`` sets and ``block_tokens`` tokens, more
+    tokens only where one set has more.
     """
-    rows = signature_rows(percent)
 
     def describe(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
-        for keys, found in blocks:
-            out: list[list] = [keys, [], [], [], []]
-            for text in found:
-                tokens = shingle_set(text, width)
-                out[1].append(len(tokens))
+        for block in blocks:
+            keys, sets = read_all(block)
+            out: list[list] = [keys, [], [], []]
+            for tokens in sets:
                 turned = mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+                out[1].append(len(tokens))
                 out[2].append(int(np.add.reduce(tokens, dtype=np.uint64).view(np.int64)) if len(tokens) else 0)
                 out[3].append(int(np.add.reduce(turned, dtype=np.uint64).view(np.int64)) if len(tokens) else 0)
-                out[4].append(signatures(tokens, rows).view(np.int64) if len(tokens) else [])
             yield out
 
-    described = written(
-        map_rows(docs, [F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column)], describe, "doc_id long,n long,k1 long,k2 long,signatures array<long>")
-    )
+    columns, read_all = sets_of(docs, width, id_column, text_column)
+    described = written(map_rows(docs, columns, describe, "doc_id long,n long,k1 long,k2 long"))
     equal = described.where("doc_id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
     equal = checkpointed(equal)
-    first = described.join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    entries = first.select(F.col("doc_id").alias("rep"), "n", F.explode("signatures").alias("token"))
+    n_sets, n_tokens = equal.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    # The bound with all other sets, of all sets and then of those that are left.
+    left, n_left = equal.select("rep").distinct(), n_sets
+    for _ in range(2):
+        among = IdFilter(left, "rep", n_left)
+        left = checkpointed(plausible_sets(docs, width, percent, among, n_tokens, id_column, text_column).select(F.col("doc_id").alias("rep")).distinct())
+        n_left = left.count()
+    left = left.join(equal.select("rep").distinct(), "rep", "left_semi")
+    columns, read_left = sets_of(docs, width, id_column, text_column, IdFilter(left, "rep", n_left))
+
+    def to_sets(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
+        for block in blocks:
+            keys, sets = read_left(block)
+            size = [len(tokens) for tokens in sets]
+            prefix = [tokens[: n - -(-n * percent // 100) + 1].view(np.int64) for tokens, n in zip(sets, size, strict=True)]
+            yield [keys, size, [tokens.tobytes() for tokens in sets], prefix]
+
+    found = map_rows(docs, columns, to_sets, "rep long,n long,tokens binary,prefix array<long>").where("n > 0")
+    sets = written(found.join(left, "rep", "left_semi"))
+    entries = sets.select("rep", "n", F.explode("prefix").alias("token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min("rep").alias("lead")).where("sets > 1")
     entries = checkpointed(entries.join(shared.select("token", "lead"), "token"))
 
-    # Groups, in blocks of about ``block_rows`` sets.
+    # Groups, in blocks.
     step = -math.log(percent / 100) if percent < 100 else 1.0
     span = F.floor(F.log("n") / step).cast("long")
     group = entries.groupBy("rep").agg(F.min("lead").alias("lead"), F.max("n").alias("n")).withColumn("span", span)
-    sizes = group.groupBy("lead", "span").agg(F.ceil(F.count("*") / block_rows).alias("parts"), F.min("rep").alias("head"))
+    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n") / block_tokens))
+    sizes = group.groupBy("lead", "span").agg(blocks.alias("parts"), F.min("rep").alias("head"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     block = F.xxhash64("lead", "span", part)
     member = checkpointed(group.join(sizes, ["lead", "span"]).select("rep", "span", "head", "lead", "parts", block.alias("block")))
-    n_members = member.count()
-
-    is_member = IdFilter(member, "rep", n_members)
-
-    def to_sets(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
-        for keys, places, found in blocks:
-            kept = [i for i, p in enumerate(places) if is_member.known(p)]
-            yield [[keys[i] for i in kept], [shingle_set(found[i], width).tobytes() for i in kept]]
-
-    # The filter is asked where the sets are made: a second Python operator in the stage would double the workers.
-    key = F.col(id_column).cast("long")
-    candidates = map_rows(docs, [key.alias("doc_id"), is_member.place(key).alias("place"), whole_text(text_column)], to_sets, "doc_id long,tokens binary")
-    sets = written(candidates.join(member.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"))
+    stored = sets.select("rep", "tokens")
 
     def within(f: pd.DataFrame) -> pd.DataFrame:
         i, j = linked_pairs([np.frombuffer(t, np.uint64) for t in f["tokens"]], percent)
@@ -230,7 +323,7 @@ def jaccard_components(
     # A group's head is put into each of its blocks, which ties them together early.
     heads = member.where("parts > 1 and rep = head").select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), "lead", "span")
     placed = member.select("rep", "block").unionByName(heads.select("rep", F.xxhash64("lead", "span", "p").alias("block"))).distinct()
-    edges = checkpointed(placed.join(sets, "rep").groupBy("block").applyInPandas(within, "a long, b long"))
+    edges = checkpointed(placed.join(stored, "rep").groupBy("block").applyInPandas(within, "a long, b long"))
 
     # The token-group matrix, with the components that each entry's block has so far.
     component = connected_components(edges)
@@ -245,18 +338,50 @@ def jaccard_components(
     cells = checkpointed(cells.join(mixed_tokens.select("token"), "token", "left_semi"))
     x, y = cells.alias("x"), cells.alias("y")
     other = "x.token = y.token and x.block < y.block and abs(x.span - y.span) <= 1 and not (x.low = x.high and y.low = y.high and x.low = y.low)"
-    pairs = x.join(y, F.expr(other)).select(F.col("x.block").alias("b0"), F.col("y.block").alias("b1")).distinct()
+    pairs = x.join(y, F.expr(other)).select(F.col("x.block").alias("asking"), F.col("y.block").alias("asked")).distinct()
     pairs = checkpointed(pairs)
 
-    def across(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = linked_pairs([np.frombuffer(t, np.uint64) for t in f["tokens"]], percent, f["side"].to_numpy())
-        return _forest(f["rep"].to_numpy(np.int64), i, j)
-
-    ends = pairs.select("b0", "b1", F.col("b0").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.select("b0", "b1", F.col("b1").alias("block"), F.lit(1).alias("side"))
-    )
-    opened = ends.join(member.select("rep", "block"), "block").join(sets, "rep")
-    more = opened.select("b0", "b1", "side", "rep", "tokens").groupBy("b0", "b1").applyInPandas(across, "a long, b long")
+    def unite(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        union = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in f["tokens"]]))
+        return pd.DataFrame({"asked": [key[0]], "union": [union.tobytes()]})
+
+    def chunked(asked: DataFrame, by: str, other: str, most: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``asked`` as ``to, other, turn``, with a turn for each ``most`` rows of a value of ``by``; and those values with each turn."""
+        count = asked.groupBy(by).agg(F.ceil(F.count("*") / most).alias("chunks"))
+        dealt = asked.join(count, by).select(F.col(by).alias("to"), F.col(other).alias(other), F.pmod(F.xxhash64(other), F.col("chunks")).alias("turn"))
+        return dealt, count.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("turn"))
+
+    def qualify(queries: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(t, np.uint64) for t in queries["tokens"]]
+        reps, out = queries["rep"].to_numpy(np.int64), {"rep": [], "asked": []}
+        if sets and len(groups):
+            size = np.array([len(t) for t in sets])
+            flat, begin = np.concatenate(sets), np.cumsum(size) - size
+            for asked, union in zip(groups["asked"], groups["union"], strict=True):
+                overlap = np.add.reduceat(np.isin(flat, np.frombuffer(union, np.uint64)).astype(np.int64), begin)
+                opens = reps[overlap * 100 >= size * percent]
+                out["rep"] += opens.tolist()
+                out["asked"] += [asked] * len(opens)
+        return pd.DataFrame({k: np.array(v, np.int64) for k, v in out.items()})
+
+    blocks_of = member.select("rep", "block")
+    unions = blocks_of.join(pairs.select(F.col("asked").alias("block")).distinct(), "block", "left_semi").join(stored, "rep")
+    unions = written(unions.groupBy("block").applyInPandas(unite, "asked long, union binary"))
+    dealt, asking = chunked(pairs, "asking", "asked", 64)
+    queries = asking.join(blocks_of.withColumnRenamed("block", "asking"), "asking").join(stored, "rep")
+    opened = checkpointed(
+        queries.groupBy("asking", "turn").cogroup(dealt.join(unions, "asked").groupBy("to", "turn")).applyInPandas(qualify, "rep long, asked long")
+    ).distinct()
+
+    def across(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        both = pd.concat([members, queries])
+        side = np.repeat([0, 1], [len(members), len(queries)])
+        i, j = linked_pairs([np.frombuffer(t, np.uint64) for t in both["tokens"]], percent, side)
+        return _forest(both["rep"].to_numpy(np.int64), i, j)
+
+    dealt, asked = chunked(opened, "asked", "rep", 4 * block_rows)
+    members = asked.join(blocks_of.withColumnRenamed("block", "asked"), "asked").join(stored, "rep")
+    more = members.groupBy("asked", "turn").cogroup(dealt.join(stored, "rep").groupBy("to", "turn")).applyInPandas(across, "a long, b long")
     # Equal ids of different sets are one node, too.
     final = connected_components(edges.unionByName(more))
     classes = equal.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
