@@ -8,53 +8,116 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turbula.functions import stats
+from turbula.operators.transform import lag_table, linear_detrend
 
 
-def amplitude_resolution(df: DataFrame, period: str, column: str, rec: str, window: int, bins: int = 100, deviations: float = 7.0) -> DataFrame:
-    """Largest share of empty histogram bins over half-overlapping windows of ``window`` records, in percent.
+def resolution_and_dropouts(df: DataFrame, period: str, column: str, rec: str, window: int, bins: int = 100, deviations: float = 7.0, extreme_percent: float = 10.0) -> DataFrame:
+    """Empty bins and drop-outs of histograms over half-overlapping windows of ``window`` records.
 
-    The histogram spans ``deviations`` standard deviations about the window's
-    mean, within its extremes.
+    A histogram spans ``deviations`` sample deviations about its window's mean, or
+    the values' range if that is less; its last bin is open. A drop-out is a value
+    in the same bin as the value before. Bins up to ``extreme_percent`` of a
+    window's values, from either side, are extreme ones, the others and those at
+    the border central ones. Returns, over all windows of a period, the
+    percentages of empty bins and of extreme and central drop-outs.
     """
     half = window // 2
-    place = F.col(rec) - 1
-    k = F.floor(place / half)
-    dealt = df.where(F.col(column).isNotNull()).withColumn("_win", F.explode(F.array_distinct(F.array(k, F.greatest(k - 1, F.lit(0))))))
-    span = dealt.groupBy(period, "_win").agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"), F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    low = F.greatest(F.col("_m") - deviations / 2 * F.col("_s"), F.col("_lo"))
-    high = F.least(F.col("_m") + deviations / 2 * F.col("_s"), F.col("_hi"))
-    span = span.select(period, "_win", low.alias("_a"), high.alias("_b")).where("_b > _a")
-    inside = dealt.join(span, [period, "_win"]).where(F.col(column).between(F.col("_a"), F.col("_b")))
-    slot = F.least(F.floor((F.col(column) - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1))
-    used = inside.groupBy(period, "_win").agg(F.count_distinct(slot).alias("_n"))
-    return used.groupBy(period).agg(F.max(100.0 * (bins - F.col("_n")) / bins).alias("empty_percent"))
-
-
-def higher_moments(df: DataFrame, period: str, columns: list[str], skewness=((-2.0, 2.0), (-1.0, 1.0)), kurtosis=((1.0, 8.0), (2.0, 5.0))) -> DataFrame:
-    """Skewness and kurtosis of each variable and their flags: 2 hard, 1 soft, 0 none."""
+    n = F.count("*").over(Window.partitionBy(period))
+    windows = F.floor(F.floor((n - window) / half)) + 1
+    place, k = F.col(rec) - 1, F.floor((F.col(rec) - 1) / half)
+    near = F.sequence(F.greatest(k - (window // half), F.lit(0)), k)
+    dealt = df.select(period, rec, F.col(column).alias("_x"), windows.alias("_many"), F.explode(near).alias("_win"))
+    dealt = dealt.where((F.col("_win") < F.col("_many")) & (place >= F.col("_win") * half) & (place < F.col("_win") * half + window))
+    whole = Window.partitionBy(period, "_win")
+    low, high, mean, spread = (f("_x").over(whole) for f in (F.min, F.max, F.avg, F.stddev_samp))
+    narrow = high - low < deviations * spread
+    begin = F.when(narrow, low).otherwise(mean - deviations / 2 * spread)
+    step = F.when(narrow, high - low).otherwise(deviations * spread) / bins
+    dealt = dealt.withColumns({"_a": begin, "_step": step})
+    slot = F.floor((F.col("_x") - F.col("_a")) / F.nullif(F.col("_step"), F.lit(0.0)))
+    dealt = dealt.withColumn("_bin", F.when(slot.between(0, bins - 1), slot + 1))
+    before = F.last("_bin", ignorenulls=True).over(Window.partitionBy(period, "_win").orderBy(rec).rowsBetween(Window.unboundedPreceding, -1))
+    dealt = dealt.withColumn("_drop", (F.col("_bin") == before).cast("int"))
+    cells = dealt.where("_bin is not null").groupBy(period, "_win", "_bin").agg(F.max("_many").alias("_many"), F.count("*").alias("_n"), F.sum("_drop").alias("_d"))
+    part = window // 100
+    sofar = F.sum("_n").over(Window.partitionBy(period, "_win").orderBy("_bin"))
+    cells = cells.withColumn("_c", sofar)
+    least = F.coalesce(F.min(F.when(F.col("_c") > extreme_percent * part, F.col("_bin"))).over(whole) - 1, F.lit(bins))
+    most = F.coalesce(F.min(F.when(F.col("_c") >= (100 - extreme_percent) * part, F.col("_bin"))).over(whole) - 1, F.lit(bins - bins // 10))
+    cells = cells.withColumns({"_lo": F.least(least, most + 1), "_hi": most})
+    counted = (F.col("_lo") > 0) & (F.col("_hi") >= F.col("_lo"))
+    extreme = F.when(counted, (F.col("_bin") <= F.col("_lo")).cast("int") + (F.col("_bin") >= F.col("_hi")).cast("int")).otherwise(0)
+    central = F.when(counted & F.col("_bin").between(F.col("_lo"), F.col("_hi")), 1).otherwise(0)
+    d = F.coalesce("_d", F.lit(0))
+    total = F.max("_many")
+    return cells.groupBy(period).agg(
+        (100.0 * (bins - F.count("*") / total) / bins).alias("empty_percent"),
+        (100.0 * F.sum(d * extreme) / (window * total)).alias("extreme_percent"),
+        (100.0 * F.sum(d * central) / (window * total)).alias("central_percent"),
+    )
+
+
+def higher_moments(df: DataFrame, period: str, columns: list[str], skewness=((-2.0, 2.0), (-1.0, 1.0)), kurtosis=((1.0, 8.0), (2.0, 5.0)), rec: str = "rec") -> DataFrame:
+    """Skewness and kurtosis of each variable about its linear trend, and their flags: 2 hard, 1 soft, 0 none; a bound is outside."""
 
     def flag(x: Column, bounds) -> Column:
         (ha, hb), (sa, sb) = bounds
-        return F.when(~x.between(ha, hb), 2).when(~x.between(sa, sb), 1).otherwise(0)
+        return F.when((x <= ha) | (x >= hb), 2).when((x <= sa) | (x >= sb), 1).otherwise(0)
 
     out = []
     for c in columns:
-        s, k = stats.helper_skewness(c), stats.helper_kurtosis(c)
+        s, k = stats.helper_skewness(f"{c}_p"), stats.helper_kurtosis(f"{c}_p")
         out += [s.alias(f"skew_{c}"), k.alias(f"kurt_{c}"), F.greatest(flag(s, skewness), flag(k, kurtosis)).alias(f"flag_{c}")]
-    return df.groupBy(period).agg(*out)
+    return linear_detrend(df, period, columns, rec).groupBy(period).agg(*out)
 
 
-def discontinuities(df: DataFrame, period: str, column: str, rec: str, window: int, hard: float = 3.0, soft: float = 2.0) -> DataFrame:
-    """Haar test: signed difference of the halves of a moving window, in units of the period's deviation."""
+def discontinuities(
+    df: DataFrame, period: str, column: str, rec: str, window: int, step: int = 100, mean=(4.0, 2.7), variance=(3.0, 2.0)
+) -> DataFrame:
+    """Haar test over windows of ``window`` records that begin every ``step`` records.
+
+    The lower half's mean minus the upper half's, in units of the variable, and
+    the difference of their variances over the whole window's. Returns the
+    largest of each over the period, and a flag: 2 where one is above its hard
+    limit, 1 above its soft one.
+    """
     half = window // 2
     w = Window.partitionBy(period).orderBy(rec)
-    left, right = w.rowsBetween(-half, -1), w.rowsBetween(0, half - 1)
-    full = (F.count("*").over(left) == half) & (F.count("*").over(right) == half)
-    jump = F.when(full, F.avg(column).over(right) - F.avg(column).over(left))
-    spread = F.stddev_pop(column).over(Window.partitionBy(period))
-    size = df.select(period, F.when(spread > 0, jump / spread).alias("_j"))
-    top = F.max("_j")
-    return size.groupBy(period).agg(top.alias("max_jump"), F.when(top > hard, 2).when(top > soft, 1).otherwise(0).alias("flag"))
+    lower, upper, whole = w.rowsBetween(0, half - 1), w.rowsBetween(half, 2 * half - 1), w.rowsBetween(0, window - 1)
+    begins = ((F.col(rec) - 1) % step == 0) & (F.count("*").over(whole) == window)
+    level = F.avg(column).over(lower) - F.avg(column).over(upper)
+    spread = (F.var_samp(column).over(lower) - F.var_samp(column).over(upper)) / F.nullif(F.var_samp(column).over(whole), F.lit(0.0))
+    cells = df.select(period, F.when(begins, level).alias("_m"), F.when(begins, spread).alias("_v"))
+    m, v = F.max("_m"), F.max("_v")
+    flag = F.when((m > mean[0]) | (v > variance[0]), 2).when((m > mean[1]) | (v > variance[1]), 1).otherwise(0)
+    return cells.groupBy(period).agg(m.alias("max_mean_jump"), v.alias("max_variance_jump"), flag.alias("flag"))
+
+
+def lag_test(table: DataFrame, period: str, default: int, hard: float = 20.0, soft: float = 10.0) -> DataFrame:
+    """Excess of the covariance at its best lag over that at the default lag, in percent, and its flag: 2 hard, 1 soft, 0 none.
+
+    ``table``: period, lag, cov, of sample covariances.
+    """
+    # Covariances that agree to nine digits are equal: the smallest lag wins.
+    best = F.max(F.struct(F.round(F.abs("cov"), 9).alias("c"), (-F.col("lag")).alias("l"), "cov"))
+    found = table.where("cov is not null").groupBy(period).agg(best.alias("_b"), F.max(F.when(F.col("lag") == default, F.col("cov"))).alias("default_cov"))
+    excess = (F.col("max_cov") - F.col("default_cov")) * 100 / F.nullif(F.col("default_cov"), F.lit(0.0))
+    found = found.select(period, (-F.col("_b.l")).alias("lag"), F.col("_b.cov").alias("max_cov"), "default_cov").withColumn("excess_percent", excess)
+    return found.withColumn("flag", F.when(F.col("excess_percent") >= hard, 2).when(F.col("excess_percent") >= soft, 1).otherwise(0))
+
+
+def pack_flags(flags: list[Column]) -> Column:
+    """One number: 9, then a digit for each flag, 9 where it is null (the variable is absent)."""
+    out = F.lit(9)
+    for f in flags:
+        out = out * 10 + F.coalesce(f.cast("int"), F.lit(9))
+    return out
+
+
+def unpack_flag(packed: Column, place: int, many: int) -> Column:
+    """The flag at ``place`` (from 1) of ``many`` packed ones; null where it is 9."""
+    digit = F.floor(packed / 10 ** (many - place)) % 10
+    return F.when(digit != 9, digit.cast("int"))
 
 
 def attack_angles(df: DataFrame, period: str, low: float, high: float, u: str = "u", v: str = "v", w: str = "w") -> DataFrame:
@@ -64,12 +127,19 @@ def attack_angles(df: DataFrame, period: str, low: float, high: float, u: str =
 
 
 def non_steady_wind(df: DataFrame, period: str, rec: str, limit: float = 0.5, u: str = "u", v: str = "v") -> DataFrame:
-    """Change of the wind along its linear trend over the period, relative to its mean speed."""
+    """Change of the wind along its linear trend over the period, relative to its mean speed.
+
+    Along the mean wind, across it, and both together; flagged where one reaches ``limit``.
+    """
     n = F.max(rec) - F.min(rec)
     du, dv = F.regr_slope(u, rec) * n, F.regr_slope(v, rec) * n
-    speed = F.sqrt(F.avg(u) * F.avg(u) + F.avg(v) * F.avg(v))
+    mu, mv = F.avg(u), F.avg(v)
+    speed = F.sqrt(mu * mu + mv * mv)
+    along = F.when(speed > 0, F.abs(du * mu + dv * mv) / (speed * speed))
+    across = F.when(speed > 0, F.abs(dv * mu - du * mv) / (speed * speed))
     ratio = F.when(speed > 0, F.sqrt(du * du + dv * dv) / speed)
-    return df.groupBy(period).agg(ratio.alias("non_steadiness"), F.when(ratio > limit, 1).otherwise(0).alias("flag"))
+    flag = F.when(F.greatest(along, across, ratio) >= limit, 1).otherwise(0)
+    return df.groupBy(period).agg(along.alias("along"), across.alias("across"), ratio.alias("non_steadiness"), flag.alias("flag"))
 
 
 def difference_kurtosis(df: DataFrame, period: str, column: str, rec: str) -> DataFrame:
@@ -91,12 +161,51 @@ def longest_gap(df: DataFrame, period: str, column: str, rec: str, hertz: float
     return df.select(period).distinct().join(longest, period, "left").select(period, (F.coalesce("_n", F.lit(0)) / hertz).alias("longest_gap"))
 
 
-def repeated_value_correlation(df: DataFrame, period: str, a: str, b: str, rec: str, epsilon: float = 1e-6) -> DataFrame:
-    """How much a correlation changes when values that repeat their predecessor are left out."""
+def repeated_value_test(df: DataFrame, period: str, a: str, b: str, rec: str, lags: range = range(-25, 26), epsilon: float = 1e-8) -> DataFrame:
+    """Squared correlation of the lagged covariances of two variables with those without values that repeat their predecessor."""
     w = Window.partitionBy(period).orderBy(rec)
-    fresh = {c: F.when(F.abs(F.col(c) - F.lag(c).over(w)) < epsilon, None).otherwise(F.col(c)) for c in (a, b)}
-    d = df.select(period, a, b, fresh[a].alias("_a"), fresh[b].alias("_b"))
-    return d.groupBy(period).agg(F.abs(stats.mixed_correlation(a, b) - stats.mixed_correlation("_a", "_b")).alias("change"))
+    fresh = {c: F.when(~(F.abs(F.col(c) - F.lag(c).over(w)) < epsilon) | F.lag(c).over(w).isNull(), F.col(c)) for c in (a, b)}
+    d = df.select(period, rec, a, b, fresh[a].alias("_a"), fresh[b].alias("_b"))
+    raw, new = lag_table(d, period, a, b, lags, rec), lag_table(d, period, "_a", "_b", lags, rec)
+    both = raw.join(new.withColumnRenamed("cov", "_c"), [period, "lag"])
+    return both.groupBy(period).agg(F.pow(F.corr("cov", "_c"), F.lit(2.0)).alias("r2"))
+
+
+def qn_scale(x: np.ndarray) -> float:
+    """Robust scale by the quantile of order floor(n/2)+1 over 2 of pairwise distances, without making the pairs.
+
+    The k-th smallest distance is found by bisection over the sorted values: the
+    pairs within a distance are counted by one search a value.
+    """
+    x = np.sort(x[~np.isnan(x)])
+    n = len(x)
+    if n < 2:
+        return np.nan
+    h = n // 2 + 1
+    k = h * (h - 1) // 2
+
+    def within(d: float) -> int:
+        return int((np.searchsorted(x, x + d, "right") - np.arange(1, n + 1)).sum())
+
+    low, high = -1.0, float(x[-1] - x[0])
+    while True:
+        middle = (low + high) / 2
+        if middle <= low or middle >= high:
+            break
+        low, high = (low, middle) if within(middle) >= k else (middle, high)
+    # The published corrections for small samples.
+    small = {2: 0.399, 3: 0.994, 4: 0.512, 5: 0.844, 6: 0.611, 7: 0.857, 8: 0.669, 9: 0.872}
+    return high * 2.2219 * (small.get(n) or n / (n + (1.4 if n % 2 else 3.8)))
+
+
+def robust_scale(df: DataFrame, period: str, column: str) -> DataFrame:
+    """:func:`qn_scale` of each period."""
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({period: [key[0]], "qn": [qn_scale(f[column].to_numpy(float))]})
+
+    kind = dict(df.dtypes)[period]
+    return df.select(period, column).groupBy(period).applyInPandas(run, f"{period} {kind}, qn double")
 
 
 def stationarity(df: DataFrame, period: str, a: str, b: str, rec: str, parts: int = 6) -> DataFrame:

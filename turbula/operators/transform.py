@@ -195,14 +195,14 @@ def borrow_sectors(fits: DataFrame, sector: str, sectors: int, clockwise: bool =
 # --- time lags ----------------------------------------------------------------
 
 
-def lag_table(df: DataFrame, period: str, a: str, b: str, lags: range, rec: str = "rec") -> DataFrame:
-    """Covariance of ``a`` with ``b`` taken ``lag`` records later, for each period and lag.
+def lag_table(df: DataFrame, period: str, a: str, b: str, lags: range, rec: str = "rec", sample: bool = False) -> DataFrame:
+    """Covariance (of the population, or of the sample) of ``a`` with ``b`` taken ``lag`` records later, for each period and lag.
 
     The lags become columns of one window and one aggregation, then rows.
     """
     w = _ordered(period, rec)
     shifted = df.select(period, F.col(a).alias("_a"), *[F.lead(b, k).over(w).alias(f"_l{i}") if k > 0 else F.lag(b, -k).over(w).alias(f"_l{i}") if k < 0 else F.col(b).alias(f"_l{i}") for i, k in enumerate(lags)])
-    agg = shifted.groupBy(period).agg(*[F.covar_pop("_a", f"_l{i}").alias(f"_c{i}") for i, _ in enumerate(lags)])
+    agg = shifted.groupBy(period).agg(*[(F.covar_samp if sample else F.covar_pop)("_a", f"_l{i}").alias(f"_c{i}") for i, _ in enumerate(lags)])
     pairs = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_c{i}").alias("cov")) for i, k in enumerate(lags)])
     return agg.select(period, F.explode(pairs).alias("x")).select(period, "x.lag", "x.cov")
 

@@ -134,9 +134,15 @@ def mask_corrupted(spark, sf_dir):
     return masks.corrupted_variables(signal(spark, sf_dir), "p", ["x"], None, 20.0).select("p", "rec", "x")
 
 
-@query(_CENTRED.replace("(x - mean", "(x - mean") + f", f AS (SELECT p, m3 / (n * pow(ss, 3)) AS s, m4 / (n * pow(ss, 4)) AS k FROM d) SELECT p, {r('s')} AS skew_x, {r('k')} AS kurt_x, greatest(CASE WHEN NOT s BETWEEN -2 AND 2 THEN 2 WHEN NOT s BETWEEN -1 AND 1 THEN 1 ELSE 0 END, CASE WHEN NOT k BETWEEN 1 AND 8 THEN 2 WHEN NOT k BETWEEN 2 AND 5 THEN 1 ELSE 0 END) AS flag_x FROM f")
+@query(f"""
+WITH {SIG}, i AS (SELECT *, CASE WHEN x IS NOT NULL THEN CAST(count(x) OVER (PARTITION BY p ORDER BY rec) AS DOUBLE) END AS i FROM sig),
+t AS (SELECT *, count(x) OVER q AS n, sum(i) OVER q AS sx, sum(x) OVER q AS sy, sum(i * x) OVER q AS sxy, sum(i * i) OVER q AS sxx FROM i WINDOW q AS (PARTITION BY p)),
+l AS (SELECT p, x - (sy / n + CASE WHEN sxx - sx * sx / n > 0 THEN (sxy - sx * sy / n) / (sxx - sx * sx / n) ELSE 0.0::DOUBLE END * (CAST(rec AS DOUBLE) - sx / n)) AS x FROM t),
+m AS (SELECT p, avg(x) AS mean, count(x) AS n, stddev_samp(x) AS ss FROM l GROUP BY p),
+d AS (SELECT l.p, sum(pow(x - mean, 3)) / (max(n) * pow(max(ss), 3)) AS s, sum(pow(x - mean, 4)) / (max(n) * pow(max(ss), 4)) AS k FROM l JOIN m ON l.p = m.p GROUP BY l.p)
+SELECT p, {r('s')} AS skew_x, {r('k')} AS kurt_x, CASE WHEN s <= -2 OR s >= 2 OR k <= 1 OR k >= 8 THEN 2 WHEN s <= -1 OR s >= 1 OR k <= 2 OR k >= 5 THEN 1 ELSE 0 END AS flag_x FROM d""")
 def qc_higher_moments(spark, sf_dir):
-    """Flags by skewness and kurtosis."""
+    """Flags by skewness and kurtosis about the linear trend."""
     return rounded(quality.higher_moments(signal(spark, sf_dir), "p", ["x"]))
 
 
@@ -191,21 +197,64 @@ def qc_attack_angle(spark, sf_dir):
 
 
 @query(f"""
-WITH {SIG}, m AS (SELECT p, regr_slope(u, rec) * (max(rec) - min(rec)) AS du, regr_slope(v, rec) * (max(rec) - min(rec)) AS dv, sqrt(avg(u) * avg(u) + avg(v) * avg(v)) AS sp FROM sig GROUP BY p)
-SELECT p, {r('CASE WHEN sp > 0 THEN sqrt(du * du + dv * dv) / sp END')} AS non_steadiness, CASE WHEN sp > 0 AND sqrt(du * du + dv * dv) / sp > 0.5 THEN 1 ELSE 0 END AS flag FROM m""")
+WITH {SIG}, m AS (SELECT p, regr_slope(u, rec) * (max(rec) - min(rec)) AS du, regr_slope(v, rec) * (max(rec) - min(rec)) AS dv, avg(u) AS mu, avg(v) AS mv FROM sig GROUP BY p),
+y AS (SELECT *, atan2(mv, mu) AS yaw, mu * cos(atan2(mv, mu)) + mv * sin(atan2(mv, mu)) AS sp FROM m),
+k AS (SELECT p, abs((du * cos(yaw) + dv * sin(yaw)) / sp) AS a, abs((dv * cos(yaw) - du * sin(yaw)) / sp) AS c, abs(sqrt(pow(du * cos(yaw) + dv * sin(yaw), 2) + pow(dv * cos(yaw) - du * sin(yaw), 2)) / sp) AS b FROM y WHERE sp > 0)
+SELECT m.p, {r('a')} AS along, {r('c')} AS across, {r('b')} AS non_steadiness, CASE WHEN a >= 0.5 OR c >= 0.5 OR b >= 0.5 THEN 1 ELSE 0 END AS flag FROM m LEFT JOIN k ON m.p = k.p""")
 def qc_non_steady_wind(spark, sf_dir):
-    """Trend of the wind over its mean."""
+    """Trend of the wind over its mean, along, across and both."""
     return rounded(quality.non_steady_wind(signal(spark, sf_dir), "p", "rec"))
 
 
 @query(f"""
-WITH {SIG}, h AS (SELECT p, avg(u) OVER (PARTITION BY p ORDER BY rec ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) - avg(u) OVER (PARTITION BY p ORDER BY rec ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS j,
-count(*) OVER (PARTITION BY p ORDER BY rec ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS nr, count(*) OVER (PARTITION BY p ORDER BY rec ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS nl, stddev_pop(u) OVER (PARTITION BY p) AS sd FROM sig),
-m AS (SELECT p, max(CASE WHEN nr = 10 AND nl = 10 AND sd > 0 THEN j / sd END) AS mj FROM h GROUP BY p)
-SELECT p, {r('mj')} AS max_jump, CASE WHEN mj > 3 THEN 2 WHEN mj > 2 THEN 1 ELSE 0 END AS flag FROM m""")
+WITH {SIG}, b AS (SELECT p, rec AS a, count(*) OVER (PARTITION BY p) AS n FROM sig),
+k AS (SELECT p, a FROM b WHERE (a - 1) % 10 = 0 AND a + 59 <= n),
+h AS (SELECT k.p, k.a, avg(u) FILTER (WHERE rec < a + 30) - avg(u) FILTER (WHERE rec >= a + 30) AS m,
+(var_samp(u) FILTER (WHERE rec < a + 30) - var_samp(u) FILTER (WHERE rec >= a + 30)) / nullif(var_samp(u), 0) AS v FROM k JOIN sig ON sig.p = k.p AND rec BETWEEN a AND a + 59 GROUP BY ALL),
+x AS (SELECT p, max(m) AS m, max(v) AS v FROM h GROUP BY p)
+SELECT s.p, {r('m')} AS max_mean_jump, {r('v')} AS max_variance_jump, CASE WHEN m > 4 OR v > 3 THEN 2 WHEN m > 2.7 OR v > 2 THEN 1 ELSE 0 END AS flag FROM (SELECT DISTINCT p FROM sig) s LEFT JOIN x ON s.p = x.p""")
 def qc_discontinuities(spark, sf_dir):
-    """Largest difference between the halves of a moving window."""
-    return rounded(quality.discontinuities(signal(spark, sf_dir), "p", "u", "rec", 20))
+    """Largest differences of mean and variance between the halves of moving windows."""
+    return rounded(quality.discontinuities(signal(spark, sf_dir), "p", "u", "rec", 60, 10))
+
+
+@query(f"""
+WITH {SIG}, l AS (SELECT a.p, k.lag, covar_samp(a.w, b.x) AS cov FROM sig a CROSS JOIN (SELECT unnest(range(-5, 6)) AS lag) k JOIN sig b ON a.p = b.p AND b.rec = a.rec + k.lag GROUP BY ALL),
+m AS (SELECT p, arg_max(lag, round(abs(cov), 9) - lag * 1e-12) AS lag, arg_max(cov, round(abs(cov), 9) - lag * 1e-12) AS mc, max(CASE WHEN lag = 0 THEN cov END) AS dc FROM l GROUP BY p)
+SELECT p, lag, {r('mc')} AS max_cov, {r('dc')} AS default_cov, {r('(mc - dc) * 100 / nullif(dc, 0)')} AS excess_percent,
+CASE WHEN (mc - dc) * 100 / nullif(dc, 0) >= 20 THEN 2 WHEN (mc - dc) * 100 / nullif(dc, 0) >= 10 THEN 1 ELSE 0 END AS flag FROM m""")
+def qc_lag_test(spark, sf_dir):
+    """The best lag's covariance against the default lag's."""
+    return rounded(quality.lag_test(transform.lag_table(signal(spark, sf_dir), "p", "w", "x", range(-5, 6), sample=True), "p", 0))
+
+
+@query(f"""
+WITH {SIG}, d AS (SELECT p, rec, w, x, CASE WHEN lag(w) OVER q IS NULL OR NOT abs(w - lag(w) OVER q) < 1e-8 THEN w END AS w2, CASE WHEN lag(x) OVER q IS NULL OR NOT abs(x - lag(x) OVER q) < 1e-8 THEN x END AS x2 FROM sig WINDOW q AS (PARTITION BY p ORDER BY rec)),
+l AS (SELECT a.p, k.lag, covar_pop(a.w, b.x) AS c, covar_pop(a.w2, b.x2) AS c2 FROM d a CROSS JOIN (SELECT unnest(range(-5, 6)) AS lag) k JOIN d b ON a.p = b.p AND b.rec = a.rec + k.lag GROUP BY ALL)
+SELECT p, {r('pow(corr(c, c2), 2)')} AS r2 FROM l GROUP BY p""")
+def qc_repeated_values(spark, sf_dir):
+    """How much repeated values change the lagged covariances."""
+    return rounded(quality.repeated_value_test(signal(spark, sf_dir), "p", "w", "x", "rec", range(-5, 6)))
+
+
+@query(f"""
+WITH {SIG}, s AS (SELECT p, count(x) AS nx, count(*) FILTER (WHERE abs(u) > 9) AS nu, count(*) FILTER (WHERE abs(w) > 2) AS nw FROM sig GROUP BY p)
+SELECT p, 9000 + (CASE WHEN nu > 0 THEN 1 ELSE 0 END) * 100 + 90 + (CASE WHEN nw > 0 THEN 1 ELSE 0 END) AS packed, CASE WHEN nu > 0 THEN 1 ELSE 0 END AS first, CAST(NULL AS INTEGER) AS second FROM s""")
+def qc_packed_flags(spark, sf_dir):
+    """Flags of several variables in one number, and back."""
+    s = signal(spark, sf_dir).groupBy("p").agg(F.count_if(F.abs("u") > 9).alias("nu"), F.count_if(F.abs("w") > 2).alias("nw"))
+    one = lambda c: F.when(F.col(c) > 0, 1).otherwise(0)
+    s = s.select("p", quality.pack_flags([one("nu"), F.lit(None), one("nw")]).alias("packed"))
+    return s.select("p", "packed", quality.unpack_flag(F.col("packed"), 1, 3).alias("first"), quality.unpack_flag(F.col("packed"), 2, 3).alias("second"))
+
+
+@query(f"""
+WITH {SIG}, c AS (SELECT p, count(*) AS n, count(x) AS nx FROM sig GROUP BY p), h AS (SELECT p, (nx // 2 + 1) * (nx // 2) // 2 AS k, nx FROM c),
+d AS (SELECT a.p, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.p ORDER BY abs(a.x - b.x)) AS i FROM sig a JOIN sig b ON a.p = b.p AND a.rec < b.rec WHERE a.x IS NOT NULL AND b.x IS NOT NULL)
+SELECT d.p, {r('d.d * 2.2219 * nx / (nx + CASE WHEN nx % 2 = 1 THEN 1.4 ELSE 3.8 END)')} AS qn FROM d JOIN h ON d.p = h.p AND d.i = h.k""")
+def qc_robust_scale(spark, sf_dir):
+    """Robust scale from pairwise distances."""
+    return rounded(quality.robust_scale(signal(spark, sf_dir), "p", "x"))
 
 
 @query(f"""
@@ -231,10 +280,26 @@ def uncertainty_integral_scale(spark, sf_dir):
     return rounded(uncertainty.integral_scale(signal(spark, sf_dir), "p", "w", "x", "rec", 20, 10.0, 0.36787944117144233))
 
 
-@query()
-def qc_amplitude_resolution(spark, sf_dir):
-    """Share of empty histogram bins."""
-    return rounded(quality.amplitude_resolution(signal(spark, sf_dir), "p", "x", "rec", 60))
+_BINNED = f"""
+WITH {SIG}, n AS (SELECT p, rec, x, (count(*) OVER (PARTITION BY p) - 100) // 50 + 1 AS many FROM sig),
+w AS (SELECT p, rec, x, many, k.win FROM n JOIN (SELECT unnest(range(0, 100000)) AS win) k ON k.win BETWEEN (rec - 1) // 50 - 1 AND (rec - 1) // 50 AND k.win < many),
+s AS (SELECT *, min(x) OVER q AS lo, max(x) OVER q AS hi, avg(x) OVER q AS m, stddev_samp(x) OVER q AS sd FROM w WINDOW q AS (PARTITION BY p, win)),
+a AS (SELECT *, CASE WHEN hi - lo < 7 * sd THEN lo ELSE m - 3.5 * sd END AS a, CASE WHEN hi - lo < 7 * sd THEN hi - lo ELSE 7 * sd END / 20 AS step FROM s),
+b AS (SELECT p, rec, win, many, CASE WHEN floor((x - a) / nullif(step, 0)) BETWEEN 0 AND 19 THEN floor((x - a) / nullif(step, 0)) + 1 END AS bin FROM a),
+d AS (SELECT *, CASE WHEN bin = last_value(bin IGNORE NULLS) OVER (PARTITION BY p, win ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS dr FROM b),
+g AS (SELECT p, win, bin, max(many) AS many, count(*) AS n, sum(dr) AS d FROM d WHERE bin IS NOT NULL GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY p, win ORDER BY bin) AS c FROM g),
+e AS (SELECT p, win, coalesce(min(bin) FILTER (WHERE c > 10) - 1, 20) AS lo, coalesce(min(bin) FILTER (WHERE c >= 90) - 1, 18) AS hi FROM c GROUP BY ALL)"""
+
+
+@query(f"""{_BINNED}
+SELECT c.p, {r('100.0::DOUBLE * (20 - count(*) * 1.0::DOUBLE / max(many)) / 20')} AS empty_percent,
+{r('100.0::DOUBLE * sum(CASE WHEN least(lo, hi + 1) > 0 AND hi >= least(lo, hi + 1) THEN d * (CASE WHEN bin <= lo THEN 1 ELSE 0 END + CASE WHEN bin >= hi THEN 1 ELSE 0 END) ELSE 0 END) / (100 * max(many))')} AS extreme_percent,
+{r('100.0::DOUBLE * sum(CASE WHEN least(lo, hi + 1) > 0 AND hi >= least(lo, hi + 1) AND bin BETWEEN lo AND hi THEN d ELSE 0 END) / (100 * max(many))')} AS central_percent
+FROM c JOIN e ON c.p = e.p AND c.win = e.win GROUP BY c.p""")
+def qc_resolution_and_dropouts(spark, sf_dir):
+    """Empty histogram bins, and values that stay in their bin."""
+    return rounded(quality.resolution_and_dropouts(signal(spark, sf_dir), "p", "x", "rec", 100, 20))
 
 
 @query()
