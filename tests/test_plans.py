@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -36,6 +37,66 @@ def test_corrections_raise_fluxes(records):
     assert more > plain
 
 
+def test_every_option_has_an_effect(records):
+    """Options that once did nothing: each changes what it names."""
+    def one(**change):
+        return raw.fluxes_by_period(records, Run(**{"lag": "none", "flags": "none"} | change)).orderBy("period").first().asDict()
+
+    plain = one()
+    found = {u: one(uncertainty=u)["uncertainty"] for u in ("finkelstein_sims_01", "mann_lenschow_94", "mahrt_98", "billesbach_11")}
+    assert len({round(x, 12) for x in found.values()}) == 4 and all(x > 0 for x in found.values())
+    assert one(altitude=2000.0)["rho_d"] < plain["rho_d"] == one(pressure=1e5)["rho_d"]
+    closed = one(path="closed")
+    assert closed["flux_co2"] not in (plain["flux_co2"], one(path="closed", density_terms=False)["flux_co2"])
+    assert one(self_heating={"bottom": (0.9, 2.0), "top": (0.9, 2.0), "spar": (0.9, 2.0)})["flux_co2"] > plain["flux_co2"]
+    assert one(high_frequency="ibrom_07", ibrom=(1.0, 0.5), cutoff=0.5)["h"] > one(high_frequency="ibrom_07", ibrom=(1.0, 0.5), cutoff=5.0)["h"]
+    assert one(limits={"co2": (0.0, 1.0)}, max_missing_percent=100.0)["flux_co2"] is None
+    turned, flat = (one(flags="foken_03", latitude=x) for x in (70.0, 1.0))
+    assert turned["turbulence"] != flat["turbulence"]
+    with pytest.raises(ValueError):
+        Run(high_frequency="ibrom_07")
+
+
+def test_planes_by_sector(spark):
+    """Two wind directions over two planes: each period's mean vertical wind vanishes only with two sectors."""
+    rng, rows = np.random.default_rng(1), []
+    for p in range(12):
+        side, a = p % 2, 0.2 * (p // 2)
+        u, v = (3 + a, 1 + a * (p % 3)) if side == 0 else (-3 - a, -1 - a * (p % 3))
+        slope = 0.1 if side == 0 else -0.05
+        for i in range(50):
+            x = u + 0.1 * rng.normal()
+            rows.append((p, i + 1, x, v + 0.01 * rng.normal(), slope * x, 293.0 + rng.normal(), 16.0 + rng.normal(), 500.0 + rng.normal()))
+    df = spark.createDataFrame(rows, "period long, rec long, u double, v double, w double, ts double, co2 double, h2o double")
+    worst = {n: max(abs(r["mean_w"]) for r in raw.fluxes_by_period(df, Run(rotation="planar_fit", sectors=n, lag="none")).collect()) for n in (1, 2)}
+    assert worst[2] < 0.02 < worst[1]
+
+
+def test_lags_without_a_join_are_those_of_the_table(records):
+    from turbula.operators import transform
+
+    moved = records.withColumn("co2", F.lag("co2", 3).over(Window.partitionBy("period").orderBy("rec")))
+    table = transform.lag_table(moved, "period", "w", "co2", range(-5, 6))
+    want = transform.best_lag(table, "period", 0)
+    old = transform.apply_lag(moved, want, "period", ["co2"])
+    new = transform.align_to_best_lags(moved, "period", "w", ["co2"], range(-5, 6), 0)
+    assert {r["lag_co2"] for r in new.collect()} == {3} == {r["lag"] for r in want.collect()}
+    assert {(r["period"], r["rec"], r["co2"]) for r in new.collect()} == {(r["period"], r["rec"], r["co2"]) for r in old.collect()}
+
+
+def test_records_are_read_few_times(records):
+    plan = raw.fluxes_by_period(records, Run())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
+def test_scaled_cospectra(records):
+    got = raw.spectra_by_period(records, Run(lag="none", taper="hann"), bins=8)
+    other = raw.spectra_by_period(records, Run(lag="none", taper="squared"), bins=8)
+    assert got.select("pair").distinct().count() == 4 and got.where("bin between 1 and 8").count() == got.count()
+    first = lambda d: d.where("pair = 'w_p_ts_p'").orderBy("period", "bin").first()["density"]
+    assert first(got) != first(other)
+
+
 def test_wrong_options_are_refused():
     with pytest.raises(ValueError):
         Run(detrend="other")

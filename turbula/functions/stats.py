@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,11 @@ def friction_velocity(uw: Column, vw: Column) -> Column:
 
 def sample_count_pairs(a, b) -> Column:
     return F.count_if(_col(a).isNotNull() & _col(b).isNotNull())
+
+
+def unbiased_correlation(df: DataFrame, period: str, a: str, b: str, rec: str, lag: int) -> DataFrame:
+    """Correlation of ``a`` with ``b`` taken ``lag`` records earlier, over present pairs: ``n, r`` and the t value of r."""
+    w = Window.partitionBy(period).orderBy(rec)
+    pairs = df.select(period, F.col(a).alias("_a"), (F.lag(b, lag).over(w) if lag >= 0 else F.lead(b, -lag).over(w)).alias("_b")).where("_a is not null and _b is not null")
+    out = pairs.groupBy(period).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("r"))
+    return out.withColumn("t", F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))))

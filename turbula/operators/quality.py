@@ -223,6 +223,15 @@ def stationarity(df: DataFrame, period: str, a: str, b: str, rec: str, parts: in
     return whole.join(inner, period, "left").select(period, "cov", deviation.alias("deviation"))
 
 
+def chunk_covariances(a: str, b: str, rec: str, n: Column, parts: int = 6) -> Column:
+    """Aggregate: mean of the covariances of ``parts`` equal chunks of a period of ``n`` records, as in :func:`stationarity`."""
+    size = F.floor(n / parts)
+    chunk = F.when(size > 0, F.floor((F.col(rec) - 1) / F.nullif(size, F.lit(0))))
+    each = F.array(*[F.covar_pop(F.when(chunk == i, F.col(a)), F.when(chunk == i, F.col(b))) for i in range(parts)])
+    found = F.filter(each, lambda c: c.isNotNull())
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda s, c: s + c) / F.size(found))
+
+
 def itc_models(z_over_l: Column, latitude: float, ustar: Column) -> tuple[Column, Column]:
     """Modelled sigma_w / u* and sigma_u / u* at a stability."""
     import math

@@ -230,6 +230,42 @@ def apply_lag(df: DataFrame, lags: DataFrame, period: str, columns: list[str], r
     return out.withColumns({c: F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def align_to_best_lags(df: DataFrame, period: str, anchor: str, columns: list[str], lags: range, default: int = 0, fallback: bool = True, rec: str = "rec") -> DataFrame:
+    """Shift each of ``columns`` by its lag of largest absolute covariance with ``anchor``.
+
+    The same lags as :func:`best_lag` and the same shift as :func:`apply_lag`, in
+    one pass over the period's window, without a join. Adds ``lag_<column>`` and
+    ``default_lag_<column>``, the same in all records of a period.
+    """
+    ordered, whole = _ordered(period, rec), _within(period)
+    ahead = {c: [F.col(c) if k == 0 else F.lead(c, k).over(ordered) if k > 0 else F.lag(c, -k).over(ordered) for k in lags] for c in columns}
+    df = df.withColumns({f"_{c}_moved": F.array(*ahead[c]) for c in columns})
+
+    def candidate(c: str, i: int, k: int) -> Column:
+        cov = F.covar_pop(anchor, F.get(f"_{c}_moved", F.lit(i))).over(whole)
+        return F.when(cov.isNotNull(), F.struct(F.abs(cov).alias("c"), F.lit(-k).alias("l")))
+
+    df = df.withColumns({f"_{c}_best": F.array_max(F.array(*[candidate(c, i, k) for i, k in enumerate(lags)])) for c in columns})
+    for c in columns:
+        found = -F.col(f"_{c}_best.l")
+        edge = F.coalesce((found == lags[0]) | (found == lags[-1]), F.lit(True)) if fallback else found.isNull()
+        lag = F.when(edge, F.lit(default)).otherwise(found)
+        inside = default in lags
+        own = F.get(f"_{c}_moved", (F.col(f"lag_{c}") - lags[0]).cast("int"))
+        df = df.withColumns({f"lag_{c}": lag.cast("long"), f"default_lag_{c}": edge})
+        if not inside:
+            moved = F.lead(c, default).over(ordered) if default > 0 else F.lag(c, -default).over(ordered)
+            own = F.when(F.col(f"default_lag_{c}"), moved).otherwise(own)
+        df = df.withColumn(c, own)
+    return df.drop(*[f"_{c}_{x}" for c in columns for x in ("moved", "best")])
+
+
+def shift(df: DataFrame, period: str, columns: list[str], lag: int, rec: str = "rec") -> DataFrame:
+    """Shift ``columns`` by one lag for all periods."""
+    w = _ordered(period, rec)
+    return df.withColumns({c: F.lead(c, lag).over(w) if lag > 0 else F.lag(c, -lag).over(w) for c in columns}) if lag else df
+
+
 # --- sonic corrections --------------------------------------------------------
 
 

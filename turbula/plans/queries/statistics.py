@@ -268,13 +268,21 @@ def uncertainty_nested(spark, sf_dir):
     return rounded(uncertainty.mahrt(signal(spark, sf_dir), "p", "w", "x", "rec"))
 
 
-@query()
+@query(f"""
+WITH {SIG}, k AS (SELECT unnest(range(-8, 9)) AS lag),
+a AS (SELECT a.p, k.lag, covar_pop(a.w, b.w) AS ww, covar_pop(a.x, b.x) AS xx, covar_pop(a.w, b.x) AS wx FROM sig a CROSS JOIN k JOIN sig b ON a.p = b.p AND b.rec = a.rec + k.lag GROUP BY ALL),
+t AS (SELECT f.p, f.lag, (f.ww * f.xx + f.wx * g.wx) * CASE WHEN f.lag = 0 THEN 1 ELSE 2 END AS t FROM a f JOIN a g ON f.p = g.p AND g.lag = -f.lag WHERE f.lag >= 0),
+n AS (SELECT p, count(*) AS n FROM sig GROUP BY p)
+SELECT t.p, {r('sqrt(abs(sum(t) / max(n)))')} AS uncertainty FROM t JOIN n ON t.p = n.p GROUP BY t.p""")
 def uncertainty_lagged(spark, sf_dir):
     """Random error from lagged covariances."""
     return rounded(uncertainty.finkelstein_sims(signal(spark, sf_dir), "p", "w", "x", "rec", 8))
 
 
-@query()
+@query(f"""
+WITH {SIG}, a AS (SELECT a.p, k.lag, covar_pop(a.w, b.x) AS c FROM sig a CROSS JOIN (SELECT unnest(range(0, 21)) AS lag) k JOIN sig b ON a.p = b.p AND b.rec = a.rec + k.lag GROUP BY ALL),
+q AS (SELECT p, lag, c / first_value(c) OVER (PARTITION BY p ORDER BY lag) AS q FROM a), f AS (SELECT p, min(lag) FILTER (WHERE q <= 0.36787944117144233) AS cut FROM q GROUP BY p)
+SELECT q.p, {r('sum(q) FILTER (WHERE cut IS NULL OR lag < cut) / 10.0')} AS its FROM q JOIN f ON q.p = f.p GROUP BY q.p""")
 def uncertainty_integral_scale(spark, sf_dir):
     """Integral time scale up to the first crossing of 1/e."""
     return rounded(uncertainty.integral_scale(signal(spark, sf_dir), "p", "w", "x", "rec", 20, 10.0, 0.36787944117144233))

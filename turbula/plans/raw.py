@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turbula.functions import stats, thermo
-from turbula.operators import correction, fluxes, footprint, masks, quality, transform, uncertainty
+from turbula.operators import correction, fluxes, footprint, masks, quality, spectra, transform, uncertainty
 from turbula.plans.config import Run
+from turbula.plans.stage import kept
 
 WIND = ["u", "v", "w"]
 
 
-def prepare(records: DataFrame, run: Run, scalars: list[str], limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def prepare(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
     """Masked, despiked and rotated records. ``records``: period, rec, u, v, w, ts and scalars.
 
     Everything up to the statistics needs the records of a period together, so
@@ -22,8 +23,8 @@ def prepare(records: DataFrame, run: Run, scalars: list[str], limits: dict[str,
     df = records.select("period", "rec", *columns).repartition("period")
     df = masks.finite(df, columns)
     df = masks.gross_limits(df, WIND, ["ts"])
-    if limits:
-        df = masks.limits_mask(df, {k: v for k, v in limits.items() if k in columns})
+    if run.limits:
+        df = masks.limits_mask(df, {k: v for k, v in run.limits.items() if k in columns})
     df = masks.corrupted_variables(df, "period", columns, None, run.max_missing_percent)
     if run.despike == "median":
         df = quality.despike(df, "period", columns, "rec", "median")
@@ -34,43 +35,39 @@ def prepare(records: DataFrame, run: Run, scalars: list[str], limits: dict[str,
     if run.rotation == "triple_rotation":
         df = transform.third_rotation(df, "period")
     if run.rotation.startswith("planar_fit"):
-        df = planar_rotation(df, bias=run.rotation == "planar_fit")
+        df = planar_rotation(df, run.rotation == "planar_fit", run.sectors)
     return df
 
 
-def planar_rotation(df: DataFrame, bias: bool = True) -> DataFrame:
-    """Turn into the plane fitted to all periods' means, then into each period's mean wind."""
-    means = df.groupBy("period").agg(*[F.avg(c).alias(c) for c in WIND]).withColumn("sector", F.lit(1))
-    fit = transform.planar_fit(means, "sector", bias=bias).select("b0", "b1", "b2")
-    p = transform.planar_rotation(F.col("b1"), F.col("b2"))
-    out = df.join(F.broadcast(fit), F.lit(True))  # one row
-    w0 = F.col("w") - F.col("b0")
-    turned = [r[0] * F.col("u") + r[1] * F.col("v") + r[2] * w0 for r in p]
-    out = out.withColumns({f"_{c}": t for c, t in zip(WIND, turned, strict=True)}).drop("b0", "b1", "b2")
-    out = out.withColumns({c: F.col(f"_{c}") for c in WIND}).drop(*[f"_{c}" for c in WIND])
-    from pyspark.sql import Window
+def planar_rotation(df: DataFrame, bias: bool = True, sectors: int = 1) -> DataFrame:
+    """Turn into the plane fitted to the period means of the wind's sector, then into each period's mean wind.
 
+    A sector without a plane borrows its neighbour's; without any, its records stay as they are.
+    """
     over = Window.partitionBy("period")
-    yaw = F.atan2(F.avg("v").over(over), F.avg("u").over(over))
-    out = out.withColumn("_yaw", yaw)
+    mean = {c: F.avg(c).over(over) for c in WIND}
+    means = df.groupBy("period").agg(*[F.avg(c).alias(c) for c in WIND])
+    means = means.withColumn("sector", transform.wind_sector(stats.wind_direction("u", "v"), sectors))
+    fit = transform.borrow_sectors(transform.planar_fit(means, "sector", bias=bias), "sector", sectors).select("sector", "b0", "b1", "b2")
+    df = df.withColumn("sector", transform.wind_sector(stats.wind_direction(mean["u"], mean["v"]), sectors))
+    out = df.join(F.broadcast(fit), "sector", "left")  # at most 360 rows
+    p = transform.planar_rotation(F.col("b1"), F.col("b2"))
+    w0 = F.col("w") - F.col("b0")
+    turned = [F.coalesce(r[0] * F.col("u") + r[1] * F.col("v") + r[2] * w0, F.when(F.col("b1").isNull(), F.col(c))) for c, r in zip(WIND, p, strict=True)]
+    out = out.select(*[c for c in out.columns if c not in (*WIND, "sector", "b0", "b1", "b2")], *[t.alias(c) for c, t in zip(WIND, turned, strict=True)])
+    out = out.withColumn("_yaw", F.atan2(mean["v"], mean["u"]))
     return out.withColumns({"u": F.col("u") * F.cos("_yaw") + F.col("v") * F.sin("_yaw"), "v": F.col("v") * F.cos("_yaw") - F.col("u") * F.sin("_yaw")}).drop("_yaw")
 
 
-def align(df: DataFrame, run: Run, scalars: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Scalars shifted by the lag of their largest covariance with vertical wind; the lags by period."""
+def align(df: DataFrame, run: Run, scalars: list[str]) -> tuple[DataFrame, list[str]]:
+    """Scalars shifted by their lags, and the columns that tell the lags found."""
     if run.lag == "none":
-        return df, None
+        return df, []
     if run.lag == "constant":
-        lags = df.select("period").distinct().withColumn("lag", F.lit(run.default_lag).cast("long"))
-        return transform.apply_lag(df, lags, "period", scalars), None
-    found = None
-    for c in scalars:
-        table = transform.lag_table(df, "period", "w", c, range(run.lag_range[0], run.lag_range[1] + 1))
-        lag = transform.best_lag(table, "period", run.default_lag, fallback=run.lag.endswith("default"))
-        df = transform.apply_lag(df, lag, "period", [c])
-        one = lag.select("period", F.col("lag").alias(f"lag_{c}"), F.col("default_used").alias(f"default_lag_{c}"))
-        found = one if found is None else found.join(one, "period", "full")
-    return df, found
+        return transform.shift(df, "period", scalars, run.default_lag), []
+    lags = range(run.lag_range[0], run.lag_range[1] + 1)
+    df = transform.align_to_best_lags(df, "period", "w", scalars, lags, run.default_lag, fallback=run.lag.endswith("default"))
+    return df, [f"{x}_{c}" for c in scalars for x in ("lag", "default_lag")]
 
 
 def fluctuate(df: DataFrame, run: Run, columns: list[str]) -> DataFrame:
@@ -83,26 +80,38 @@ def fluctuate(df: DataFrame, run: Run, columns: list[str]) -> DataFrame:
     return transform.block_average(df, "period", columns)
 
 
-def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o"), pressure: float = 98_000.0, limits=None) -> DataFrame:
+def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o")) -> DataFrame:
     """One row per period: means, covariances, level 0 to 3 fluxes, flags and footprint.
 
-    ``co2`` and ``h2o`` are densities in mmol/m3, ``ts`` is in K.
+    ``co2`` and ``h2o`` are densities in mmol/m3, ``ts`` is in K; for a closed
+    path they are those in the cell, at the air's temperature where ``tc``, the
+    cell's, is not among ``scalars``. The records are dealt out by period once;
+    what needs a period's records together is one aggregation of them; for the random
+    uncertainty, a second one, the prepared records are kept.
     """
     scalars = list(scalars)
-    df, lags = align(prepare(records, run, scalars, limits), run, scalars)
+    df, lags = align(prepare(records, run, scalars), run, scalars)
     df = fluctuate(df, run, [*WIND, "ts", *scalars])
+    main = scalars[0] if scalars else "ts"
+    df = df.withColumn("_n", F.count("*").over(Window.partitionBy("period")))
+    if run.uncertainty != "none":
+        df = kept(df.select("period", "rec", "_n", *WIND, "ts", *scalars, *[f"{c}_p" for c in [*WIND, "ts", *scalars]], *lags))
     agg = [F.count("*").alias("n_records"), F.count("w").alias("n_valid")]
     agg += [F.avg(c).alias(f"mean_{c}") for c in [*WIND, "ts", *scalars]]
     agg += [stats.covariance("w_p", f"{c}_p").alias(f"cov_w{c}") for c in ["u", "v", "ts", *scalars]]
     agg += [F.stddev_pop("w_p").alias("sigma_w"), F.stddev_pop("u_p").alias("sigma_u"), stats.turbulent_kinetic_energy("u", "v", "w").alias("tke")]
+    agg += [F.var_pop(f"{main}_p").alias("_var_main"), quality.chunk_covariances("w_p", f"{main}_p", "rec", F.col("_n")).alias("_inner")]
+    agg += [F.max(c).alias(c) for c in lags]
     row = df.groupBy("period").agg(*agg)
     c = F.col
-    t, p = c("mean_ts"), F.lit(pressure)
+    pressure = F.lit(run.pressure) if run.pressure else thermo.air_pressure(run.altitude, F.lit(None).cast("double"), F.lit(None).cast("double"))
+    t, p = c("mean_ts"), pressure
     water = c("mean_h2o") if "h2o" in scalars else F.lit(0.0)
     e = water * 1e-3 * 8.314 * t  # mmol/m3 to Pa
     q, rho_d, rho_w = thermo.specific_humidity(e, t, p), thermo.dry_density(e, t, p), thermo.vapour_density(e, t)
+    humidity = F.least(F.lit(100.0), 100 * e / thermo.saturation_pressure(t))
     row = row.withColumns({
-        "ta": thermo.air_temperature_from_sonic(t, q), "rho_w": rho_w, "rho_d": rho_d, "rho_cp": thermo.heat_capacity(e, F.lit(50.0), t, p),
+        "ta": thermo.air_temperature_from_sonic(t, q), "rh": humidity, "rho_w": rho_w, "rho_d": rho_d, "rho_cp": thermo.heat_capacity(e, humidity, t, p),
         "sigma": rho_w / rho_d, "ustar": fluxes.friction(c("cov_wu"), c("cov_wv")), "wind_speed": F.sqrt(c("mean_u") * c("mean_u") + c("mean_v") * c("mean_v")),
     })
     length = fluxes.obukhov_length(c("ustar"), c("ta"), p, c("cov_wts"))
@@ -112,28 +121,16 @@ def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("
         row = _with_factor(row, run)
         factor = F.coalesce(c("factor"), F.lit(1.0))
     row = row.withColumn("h", c("h_0") * factor)
-    if "h2o" in scalars:
-        e1 = c("cov_wh2o") * 0.01802 * 1e-3 * factor
-        e3 = fluxes.open_path_evaporation(e1, c("h"), c("rho_w"), c("rho_cp"), c("ta"), c("sigma")) if run.density_terms and run.path == "open" else e1
-        row = row.withColumns({"evaporation": e3, "le": e3 * thermo.vaporisation_heat(c("ta")), "et": e3 * 3600})
-    for s in scalars:
-        if s != "h2o":
-            f1 = c(f"cov_w{s}") * 1e3 * factor
-            wet = c("evaporation") if "h2o" in scalars else F.lit(0.0)
-            f3 = fluxes.open_path_gas(f1, wet, c("h"), c(f"mean_{s}"), c("rho_d"), c("rho_cp"), c("ta"), c("sigma")) if run.density_terms and run.path == "open" else f1
-            row = row.withColumn(f"flux_{s}", f3)
+    row = _densities(row, run, scalars, factor, p)
     if run.flags != "none":
-        main = scalars[0] if scalars else "ts"
-        steady = quality.stationarity(df, "period", "w_p", f"{main}_p", "rec").select("period", "deviation")
-        sw, _ = quality.itc_models(c("z_l"), 45.0, c("ustar"))
-        row = row.join(steady, "period", "left").withColumn("turbulence", quality.developed_turbulence(c("sigma_w") / F.nullif(c("ustar"), F.lit(0.0)), sw))
+        cov = c(f"cov_w{main}")
+        sw, _ = quality.itc_models(c("z_l"), run.latitude, c("ustar"))
+        deviation = F.when(cov != 0, F.floor(F.abs((c("_inner") - cov) / cov) * 100).cast("long"))
+        row = row.withColumns({"deviation": deviation, "turbulence": quality.developed_turbulence(c("sigma_w") / F.nullif(c("ustar"), F.lit(0.0)), sw)})
         a, b = quality.partial_flag(c("deviation")), quality.partial_flag(c("turbulence"))
         overall = {"mauder_foken_04": quality.overall_flag_0_2, "foken_03": quality.overall_flag_1_9, "goeckede_06": quality.overall_flag_1_5}[run.flags]
         row = row.withColumn("flag", overall(a, b))
-    if run.uncertainty != "none":
-        main = scalars[0] if scalars else "ts"
-        found = uncertainty.mahrt(df, "period", "w_p", f"{main}_p", "rec") if run.uncertainty == "mahrt_98" else uncertainty.finkelstein_sims(df, "period", "w_p", f"{main}_p", "rec", 20)
-        row = row.join(found.select("period", "uncertainty"), "period", "left")
+    row = _with_uncertainty(row, df, run, main)
     zm = run.height - run.displacement
     if run.footprint == "kljun_04":
         row = row.withColumns({f"foot_{k}": v for k, v in footprint.kljun_04(c("sigma_w"), c("ustar"), c("z_l"), zm, run.roughness).items()})
@@ -143,7 +140,70 @@ def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("
     elif run.footprint == "kormann_meixner_01":
         row = row.withColumn("_f", footprint.kormann_meixner_01(c("ustar"), c("z_l"), c("wind_speed"), zm))
         row = row.withColumns({f"foot_{k}": c("_f")[k] for k in ("peak", *footprint.SHARES)}).drop("_f")
-    return row.join(lags, "period", "left") if lags is not None else row
+    return row.drop("_inner", "_var_main")
+
+
+def _densities(row: DataFrame, run: Run, scalars: list[str], factor: Column, p: Column) -> DataFrame:
+    """Evaporation and gas fluxes, with the density terms of the analyser's path."""
+    c = F.col
+    heating = F.lit(0.0)
+    if run.self_heating and run.path == "open":
+        heating = F.coalesce(fluxes.surface_heating(c("ta"), c("wind_speed"), run.self_heating), F.lit(0.0))
+    t_cell = c("mean_tc") if "tc" in scalars else c("ta")
+    p_cell = F.lit(run.cell_pressure) if run.cell_pressure else p
+    h_cell = c("rho_cp") * c("cov_wtc") if "tc" in scalars else F.lit(0.0)
+    va = thermo.molar_volume(t_cell, p_cell)
+    no_pressure_term = F.lit(None).cast("double")
+    if "h2o" in scalars:
+        e1 = c("cov_wh2o") * 0.01802 * 1e-3 * factor
+        e3 = e1
+        if run.density_terms and run.path == "open":
+            e3 = fluxes.open_path_evaporation(e1, c("h"), c("rho_w"), c("rho_cp"), c("ta"), c("sigma"), heating)
+        elif run.density_terms:
+            ratio = p / p_cell * t_cell / c("ta")
+            e3 = fluxes.closed_path_evaporation(e1, h_cell, no_pressure_term, c("rho_w"), c("rho_cp"), t_cell, p_cell, ratio, c("sigma"))
+        row = row.withColumns({"evaporation": e3, "le": e3 * thermo.vaporisation_heat(c("ta")), "et": e3 * 3600})
+    wet = c("evaporation") if "h2o" in scalars else F.lit(0.0)
+    for s in scalars:
+        if s not in ("h2o", "tc"):
+            f1 = c(f"cov_w{s}") * 1e3 * factor
+            f3 = f1
+            if run.density_terms and run.path == "open":
+                f3 = fluxes.open_path_gas(f1, wet, c("h"), c(f"mean_{s}"), c("rho_d"), c("rho_cp"), c("ta"), c("sigma"), heating)
+            elif run.density_terms:
+                chi = c(f"mean_{s}") * va * 1e3  # mmol/m3 to umol/mol
+                f3 = fluxes.closed_path_gas(f1, wet, h_cell, no_pressure_term, chi, c("rho_w"), c("rho_cp"), t_cell, p_cell, va, c("sigma"))
+            row = row.withColumn(f"flux_{s}", f3)
+    return row
+
+
+def _with_uncertainty(row: DataFrame, df: DataFrame, run: Run, main: str) -> DataFrame:
+    c, x = F.col, f"{main}_p"
+    if run.uncertainty == "none":
+        return row
+    if run.uncertainty == "mann_lenschow_94":
+        scale = uncertainty.integral_scale(df, "period", "w_p", x, "rec", 20, run.hertz, 0.0)
+        corr = F.abs(c(f"cov_w{main}")) / F.nullif(c("sigma_w") * F.sqrt("_var_main"), F.lit(0.0))
+        found = uncertainty.mann_lenschow(c(f"cov_w{main}"), corr, c("its"), c("n_records") / run.hertz)
+        return row.join(scale, "period", "left").withColumn("uncertainty", found).drop("its")
+    found = {
+        "mahrt_98": lambda: uncertainty.mahrt(df, "period", "w_p", x, "rec"),
+        "finkelstein_sims_01": lambda: uncertainty.finkelstein_sims(df, "period", "w_p", x, "rec", 20),
+        "billesbach_11": lambda: uncertainty.billesbach(df, "period", "w_p", x, "rec"),
+    }[run.uncertainty]()
+    return row.join(found.select("period", "uncertainty"), "period", "left")
+
+
+def spectra_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o"), bins: int = 30) -> DataFrame:
+    """Binned cospectra of vertical wind, each divided by its covariance: ``period, pair, bin, freq, density, n``."""
+    df, _ = align(prepare(records, run, list(scalars)), run, list(scalars))
+    df = fluctuate(df, run, [*WIND, "ts", *scalars])
+    columns = ["u", "ts", *scalars]
+    long = spectra.cospectra(df, "period", "rec", [("w_p", f"{x}_p") for x in columns], run.hertz, run.taper)
+    covariances = df.groupBy("period").agg(*[F.covar_pop("w_p", f"{x}_p").alias(f"w_p_{x}_p") for x in columns])
+    covariances = covariances.unpivot(["period"], [f"w_p_{x}_p" for x in columns], "pair", "cov")
+    scaled = spectra.normalised(long, covariances, ["period", "pair"])
+    return spectra.binned(scaled, ["period", "pair"], 1 / (run.minutes * 60), run.hertz / 2, bins)
 
 
 def _with_factor(row: DataFrame, run: Run) -> DataFrame:
@@ -153,7 +213,7 @@ def _with_factor(row: DataFrame, run: Run) -> DataFrame:
     if run.high_frequency == "massman_00":
         return row.withColumn("factor", correction.massman_00(u, z, zl, run.sensor_tau, run.minutes, run.detrend))
     if run.high_frequency == "ibrom_07":
-        return row.withColumn("factor", correction.ibrom_07(1.0, 0.5, u, F.lit(1.0)))
+        return row.withColumn("factor", correction.ibrom_07(*run.ibrom, u, F.lit(run.cutoff)))
     f = F.col("f")
     transfer = correction.first_order(f, run.sensor_tau) * correction.high_pass(f, run.detrend, run.minutes, run.hertz, run.time_constant)
     model = correction.model_cospectrum(f * z / u, f, zl)
