@@ -230,34 +230,50 @@ def apply_lag(df: DataFrame, lags: DataFrame, period: str, columns: list[str], r
     return out.withColumns({c: F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def lagged_covariances(x: np.ndarray, y: np.ndarray, lags: range) -> np.ndarray:
+    """Population covariance of ``x`` with ``y`` taken each lag later, over present pairs; nan without any."""
+    found, n = np.full(len(lags), np.nan), len(x)
+    for i, k in enumerate(lags):
+        if abs(k) < n:
+            a, b = (x[: n - k], y[k:]) if k >= 0 else (x[-k:], y[:k])
+            both = ~(np.isnan(a) | np.isnan(b))
+            if both.any():
+                a, b = a[both], b[both]
+                found[i] = ((a - a.mean()) * (b - b.mean())).mean()
+    return found
+
+
 def align_to_best_lags(df: DataFrame, period: str, anchor: str, columns: list[str], lags: range, default: int = 0, fallback: bool = True, rec: str = "rec") -> DataFrame:
     """Shift each of ``columns`` by its lag of largest absolute covariance with ``anchor``.
 
     The same lags as :func:`best_lag` and the same shift as :func:`apply_lag`, in
-    one pass over the period's window, without a join. Adds ``lag_<column>`` and
-    ``default_lag_<column>``, the same in all records of a period.
+    one kernel over a period's records, numbered without gaps, instead of a join
+    for each column. Adds ``lag_<column>`` and ``default_lag_<column>``, the same
+    in all records of a period; a period without any covariance takes the default.
     """
-    ordered, whole = _ordered(period, rec), _within(period)
-    ahead = {c: [F.col(c) if k == 0 else F.lead(c, k).over(ordered) if k > 0 else F.lag(c, -k).over(ordered) for k in lags] for c in columns}
-    df = df.withColumns({f"_{c}_moved": F.array(*ahead[c]) for c in columns})
+    more = [F.lit(0).cast("long").alias(f"lag_{c}") for c in columns] + [F.lit(False).alias(f"default_lag_{c}") for c in columns]
+    schema = df.select("*", *more).schema
 
-    def candidate(c: str, i: int, k: int) -> Column:
-        cov = F.covar_pop(anchor, F.get(f"_{c}_moved", F.lit(i))).over(whole)
-        return F.when(cov.isNotNull(), F.struct(F.abs(cov).alias("c"), F.lit(-k).alias("l")))
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(rec)
+        x = f[anchor].to_numpy(float)
+        for c in columns:
+            y = f[c].to_numpy(float)
+            size = np.abs(lagged_covariances(x, y, lags))
+            lag, edge = default, True
+            if not np.isnan(size).all():
+                best = int(np.nanargmax(size))
+                known = np.flatnonzero(~np.isnan(size))
+                edge = fallback and best in (known[0], known[-1])
+                lag = default if edge else lags[best]
+            moved = np.full(len(y), np.nan)
+            if abs(lag) < len(y):
+                moved[max(0, -lag) : len(y) - max(0, lag)] = y[max(0, lag) : len(y) - max(0, -lag)]
+            f[c] = pd.array(moved, dtype="Float64") if np.isnan(moved).any() else moved
+            f[f"lag_{c}"], f[f"default_lag_{c}"] = lag, bool(edge)
+        return f
 
-    df = df.withColumns({f"_{c}_best": F.array_max(F.array(*[candidate(c, i, k) for i, k in enumerate(lags)])) for c in columns})
-    for c in columns:
-        found = -F.col(f"_{c}_best.l")
-        edge = F.coalesce((found == lags[0]) | (found == lags[-1]), F.lit(True)) if fallback else found.isNull()
-        lag = F.when(edge, F.lit(default)).otherwise(found)
-        inside = default in lags
-        own = F.get(f"_{c}_moved", (F.col(f"lag_{c}") - lags[0]).cast("int"))
-        df = df.withColumns({f"lag_{c}": lag.cast("long"), f"default_lag_{c}": edge})
-        if not inside:
-            moved = F.lead(c, default).over(ordered) if default > 0 else F.lag(c, -default).over(ordered)
-            own = F.when(F.col(f"default_lag_{c}"), moved).otherwise(own)
-        df = df.withColumn(c, own)
-    return df.drop(*[f"_{c}_{x}" for c in columns for x in ("moved", "best")])
+    return df.groupBy(period).applyInPandas(run, schema)
 
 
 def shift(df: DataFrame, period: str, columns: list[str], lag: int, rec: str = "rec") -> DataFrame:
