@@ -27,8 +27,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(folds: int):
-    """The fold of an id: crc32 of its text modulo ``folds``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    """The fold of an id: crc32 of its text modulo ``folds``; -1 of a null id, which no fold holds."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
