@@ -167,7 +167,7 @@ def spec_degraded(spark, sf_dir):
     return rounded(spectra.degraded_covariances(_spectrum(spark, sf_dir), ["p"]))
 
 
-_PER = "per AS (SELECT event_id, 0.5::DOUBLE + (event_id % 97) / 20.0::DOUBLE AS u, (event_id % 41) / 20.0::DOUBLE - 1.0::DOUBLE AS zl, 280.0::DOUBLE + event_id % 30 AS t FROM events WHERE event_id % 50 = 7)"
+_PER = "per AS (SELECT event_id, 0.5::DOUBLE + (event_id % 97) / 20.0::DOUBLE AS u, (event_id % 41) / 20.0::DOUBLE - 1.0::DOUBLE AS zl, 280.0::DOUBLE + event_id % 30 AS t FROM events)"
 
 
 def _periods(spark, sf_dir):
