@@ -26,7 +26,9 @@ def resolution_and_dropouts(df: DataFrame, period: str, column: str, rec: str, w
     windows = F.floor(F.floor((n - window) / half)) + 1
     place, k = F.col(rec) - 1, F.floor((F.col(rec) - 1) / half)
     near = F.sequence(F.greatest(k - (window // half), F.lit(0)), k)
-    dealt = df.select(period, rec, F.col(column).alias("_x"), windows.alias("_many"), F.explode(near).alias("_win"))
+    # Counted before the records are dealt: in one step the copies would count, too.
+    counted_first = df.select(period, rec, F.col(column).alias("_x"), windows.alias("_many"))
+    dealt = counted_first.withColumn("_win", F.explode(near))
     dealt = dealt.where((F.col("_win") < F.col("_many")) & (place >= F.col("_win") * half) & (place < F.col("_win") * half + window))
     whole = Window.partitionBy(period, "_win")
     low, high, mean, spread = (f("_x").over(whole) for f in (F.min, F.max, F.avg, F.stddev_samp))
