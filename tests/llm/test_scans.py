@@ -1,7 +1,9 @@
 """License and secret scans against plain regular expressions, and planted cases."""
 
 import hashlib
+import random
 import re
+import time
 
 from turbula.llm import license_scan, secret_grammar
 
@@ -32,13 +34,14 @@ def test_notices_with_edits(make_docs):
         (1, "Permission is herby granted, free of charge, to any persn obtaining a copy"),
         (2, "Réserve: licenced under the Apache Licence, version 2.0 here"),
         (3, "an ordinary text about licences and public reserves of all kinds"),
-        (4, "x" * 50_000 + " all rights reserved"),
+        (4, "é" * 50_000 + " all rights reserved"),
     ]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(make_docs(rows), with_spans=True).collect()}
     assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["mit", "apache", "", "reserved"]
     assert 0.8 < got[1]["score"] < 1 and got[3]["score"] == 0 and got[4]["score"] == 1
     label, a, b, _ = got[2]["spans"].split(":")
     assert rows[1][1][int(a) : int(b)].lower().startswith("licenced under")
+    assert got[4]["spans"] == "reserved:50001:50020:0"
 
 
 def test_seeds_lose_no_notice():
@@ -49,6 +52,23 @@ def test_seeds_lose_no_notice():
         assert bool(license_scan.fuzzy_spans(text, notice)) == bool(alone)
 
 
+def test_windows_without_the_letters_hold_no_notice():
+    """The letter count leaves no window that the regex alone accepts, and near misses by the thousand are cheap."""
+    rng = random.Random(4)
+    for notice in license_scan._notices(license_scan.NOTICES):
+        raw = b"".join(s for s, _ in notice.seeds)
+        for _ in range(60):
+            text = bytearray(raw)
+            for _ in range(rng.randint(0, notice.edits + 2)):
+                i = rng.randrange(len(text))
+                text[i : i + rng.randint(0, 1)] = rng.choice([b"", b"q", b"7"])
+            window = bytes(text)
+            assert license_scan._may_hold(window, notice) or not notice.match(window)
+    began = time.process_time()
+    assert not license_scan.fuzzy_spans(b"permission is hereby granted, " * 4000, license_scan._notices(license_scan.NOTICES))
+    assert time.process_time() - began < 5
+
+
 SECRETS = [
     (None, "token=abcdef1"), (1, None), (2, ""), (3, "é API_KEY: 'abc123def' password = short passwd=\"longer_1\""),
     (4, "id AKIA" + "Z7" * 9 + " AKIA12 " + "0123456789abcdef" * 2 + " deadbeef"), (5, "secret=" + "a" * 30_000), (5, "x"),

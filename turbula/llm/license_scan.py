@@ -4,7 +4,8 @@ A notice that occurs with at most k edits, cut into k + 1 pieces, keeps at least
 one piece unchanged. Each piece of each notice is searched as an exact byte
 string; a hit fixes where the notice must begin, to within k, and the regex
 library's bounded-error matching of the notice over that window verifies the
-edits and gives the span.
+edits and gives the span. A window that lacks more of the notice's letters than
+edits can account for is left without it.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class _Notice:
     edits: int
     length: int
     seeds: tuple[tuple[bytes, int], ...]
+    needs: tuple[tuple[bytes, int], ...]
     match: object
 
 
@@ -62,7 +64,8 @@ def _notices(notices: tuple[tuple[str, str, int], ...]) -> list[_Notice]:
         seeds = tuple((raw[a:b], a) for a, b in zip(bounds, bounds[1:], strict=False))
         # BESTMATCH: the alignment with the fewest edits in a window.
         verify = regex.compile(rb"(?b)(?:" + re.escape(raw) + rb"){e<=" + str(edits).encode() + rb"}")
-        found.append(_Notice(label, edits, len(raw), seeds, verify.search))
+        needs = tuple((bytes([b]), raw.count(b)) for b in sorted(set(raw)))
+        found.append(_Notice(label, edits, len(raw), seeds, needs, verify.search))
     return found
 
 
@@ -78,6 +81,16 @@ def _phrases(phrases: tuple[tuple[str, str], ...]):
 _IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
+def _may_hold(window: bytes, n: _Notice) -> bool:
+    """False if the window lacks more of the notice's letters than edits can account for: each loses at most one."""
+    lacking = 0
+    for letter, count in n.needs:
+        lacking += max(0, count - window.count(letter))
+        if lacking > n.edits:
+            return False
+    return True
+
+
 def fuzzy_spans(text: bytes, notices: list[_Notice]) -> list[tuple[int, int, str, int]]:
     """Byte spans (start, end, label, edits) of the notices in a lower-case text, sorted."""
     found = set()
@@ -93,7 +106,8 @@ def fuzzy_spans(text: bytes, notices: list[_Notice]) -> list[tuple[int, int, str
             a = max(0, begin - k)
             if begin <= tried:  # the last window already holds this place
                 continue
-            m = n.match(text, a, min(len(text), begin + n.length + 2 * k))
+            z = min(len(text), begin + n.length + 2 * k)
+            m = _may_hold(text[a:z], n) and n.match(text, a, z)
             if m:
                 found.add((*m.span(), n.label, sum(m.fuzzy_counts)))
                 tried = begin + k
@@ -155,8 +169,9 @@ def scan_licenses(
                     score,
                 )
                 if with_spans:
-                    chars = [(len(low[:a].decode(errors="ignore")), len(low[:b].decode(errors="ignore")), x, e) for a, b, x, e in spans]
-                    row += (",".join(f"{x}:{a}:{b}:{e}" for a, b, x, e in chars),)
+                    # Code points before each byte, and before the end.
+                    before = np.append(np.cumsum(np.frombuffer(low, np.int8) >= -64) - 1, len(low.decode(errors="replace"))) if spans else ()
+                    row += (",".join(f"{x}:{before[a]}:{before[b]}:{e}" for a, b, x, e in spans),)
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             yield out
