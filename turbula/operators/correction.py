@@ -111,7 +111,8 @@ def ibrom_07(a: float, b: float, wind: Column, cutoff: Column) -> Column:
 
 
 def massman_00(wind: Column, height: float, z_over_l: Column, tau: Column | float, minutes: float, method: str = "ba", seconds: float = 0.0) -> Column:
-    """Closed form from equivalent time constants."""
+    """Closed form from equivalent time constants; null without wind."""
+    wind = F.nullif(wind, F.lit(0.0))
     peak = F.when(z_over_l < 0, 0.085).otherwise(2 - 1.915 / (1 + 0.5 * z_over_l)) * wind / height
     alpha = F.when(z_over_l < 0, 0.925).otherwise(1.0)
     detrend = {"ld": minutes * 60 / 5.3, "ba": 1e10}.get(method, seconds)

@@ -71,10 +71,11 @@ def closed_path_gas(f: Column, e: Column, h_cell: Column, w_pressure: Column, ch
 
 
 def surface_heating(t: Column, wind: Column, surfaces: dict[str, tuple[float, float]], radius: dict[str, float] | None = None, length: dict[str, float] | None = None) -> Column:
-    """Heat from an open-path analyser's bottom, top and spars; ``surfaces``: slope and intercept of their temperature, in degrees C."""
+    """Heat from an open-path analyser's bottom, top and spars; ``surfaces``: slope and intercept of their temperature, in degrees C. Null without wind."""
     # Radii and lengths, m, of the three surfaces.
     radius = radius or {"top": 0.0225, "spar": 0.0025}
     length = length or {"bottom": 0.065, "top": 0.045, "spar": 0.005}
+    wind = F.when(wind > 0, wind)
     k = 6.7e-5 * (t - 273.15) + 0.024343
     rise = {name: a * (t - 273.15) + b + 273.15 - t for name, (a, b) in surfaces.items()}
     bottom = 0.004 * F.sqrt(length["bottom"] / wind) + 0.004
@@ -85,7 +86,7 @@ def surface_heating(t: Column, wind: Column, surfaces: dict[str, tuple[float, fl
         + k * rise["top"] * (radius["top"] + top) / (top * radius["top"])
         + 0.15 * k * rise["spar"] / (radius["spar"] * F.ln((radius["spar"] + spar) / radius["spar"]))
     )
-    return F.when(wind > 0, total)
+    return total
 
 
 def storage(df: DataFrame, period: str, step: int, value: str, height: float, seconds: float, factor: Column | float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -235,11 +235,11 @@ def chunk_covariances(a: str, b: str, rec: str, n: Column, parts: int = 6) -> Co
 
 
 def itc_models(z_over_l: Column, latitude: float, ustar: Column) -> tuple[Column, Column]:
-    """Modelled sigma_w / u* and sigma_u / u* at a stability."""
+    """Modelled sigma_w / u* and sigma_u / u* at a stability; null in neutral and stable air without friction."""
     import math
 
     f = 2 * 7.2921e-5 * abs(math.sin(math.radians(latitude)))
-    near_neutral = F.ln(F.lit(f) / ustar)
+    near_neutral = F.ln(F.lit(f) / F.nullif(ustar, F.lit(0.0)))
     sw = F.when(z_over_l < -0.2, 1.3 * F.pow(1 - 2 * z_over_l, F.lit(1 / 3))).otherwise(0.21 * near_neutral + 3.1)
     su = F.when(z_over_l < -0.2, 4.15 * F.pow(F.abs(z_over_l), F.lit(1 / 8))).otherwise(0.44 * near_neutral + 6.3)
     return sw, su

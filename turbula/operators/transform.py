@@ -243,6 +243,29 @@ def lagged_covariances(x: np.ndarray, y: np.ndarray, lags: range) -> np.ndarray:
     return found
 
 
+def moved_by(y: np.ndarray, lag: int) -> np.ndarray:
+    """Record r with the value of record r + lag; nan beyond the ends."""
+    out = np.full(len(y), np.nan)
+    if abs(lag) < len(y):
+        out[max(0, -lag) : len(y) - max(0, lag)] = y[max(0, lag) : len(y) - max(0, -lag)]
+    return out
+
+
+def apply_own_lags(df: DataFrame, period: str, columns: list[str], rec: str = "rec") -> DataFrame:
+    """Shift each of ``columns`` by ``lag_<column>``, the same in all records of a period; a null lag shifts nothing."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(rec)
+        for c in columns:
+            lag = f[f"lag_{c}"].iloc[0]
+            if not pd.isna(lag):
+                out = moved_by(f[c].to_numpy(float), int(lag))
+                f[c] = pd.array(out, dtype="Float64") if np.isnan(out).any() else out
+        return f
+
+    return df.groupBy(period).applyInPandas(run, df.schema)
+
+
 def align_to_best_lags(df: DataFrame, period: str, anchor: str, columns: list[str], lags: range, default: int = 0, fallback: bool = True, rec: str = "rec") -> DataFrame:
     """Shift each of ``columns`` by its lag of largest absolute covariance with ``anchor``.
 
@@ -266,9 +289,7 @@ def align_to_best_lags(df: DataFrame, period: str, anchor: str, columns: list[st
                 known = np.flatnonzero(~np.isnan(size))
                 edge = fallback and best in (known[0], known[-1])
                 lag = default if edge else lags[best]
-            moved = np.full(len(y), np.nan)
-            if abs(lag) < len(y):
-                moved[max(0, -lag) : len(y) - max(0, lag)] = y[max(0, lag) : len(y) - max(0, -lag)]
+            moved = moved_by(y, lag)
             f[c] = pd.array(moved, dtype="Float64") if np.isnan(moved).any() else moved
             f[f"lag_{c}"], f[f"default_lag_{c}"] = lag, bool(edge)
         return f

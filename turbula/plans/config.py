@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from turbula.operators.bootstrap_lag import Bootstrap
+
 # The choices that each option has.
 CHOICES = {
     "detrend": ("ba", "ld", "rm", "ew"),
     "rotation": ("none", "double_rotation", "triple_rotation", "planar_fit", "planar_fit_no_bias"),
-    "lag": ("none", "constant", "maxcov", "maxcov&default"),
+    "lag": ("none", "constant", "maxcov", "maxcov&default", "pwb"),
     "despike": ("none", "median", "moving"),
     "taper": ("squared", "bartlett", "welch", "hamming", "hann"),
     "high_frequency": ("none", "moncrieff_97", "horst_97", "ibrom_07", "massman_00"),
@@ -38,6 +40,8 @@ class Run:
     lag: str = "maxcov&default"
     lag_range: tuple[int, int] = (-10, 10)
     default_lag: int = 0
+    bootstrap: Bootstrap = Bootstrap()  # of the lag option pwb
+    instruments: dict | None = None  # model by gas; pwb shares lags within one
     despike: str = "none"
     max_missing_percent: float = 10.0
     taper: str = "hamming"

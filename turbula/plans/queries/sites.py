@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turbula.functions import stats
-from turbula.operators import periods, site
+from turbula.operators import bootstrap_lag, periods, site
 from turbula.plans.queries.base import SIG, query, r, r6, rounded, signal, table
 
 _THETA = "(2 * pi() * floor(k / 48) / 365)"
@@ -72,3 +72,12 @@ def drift_absorptance(spark, sf_dir):
     found = site.drift_between_calibrations(points, marks, ["site"], "sec", 1800)
     y = site.without_drift(F.col("x"), F.lit(0.01), F.col("drift"), F.lit(95_000.0))
     return rounded(found.select("event_id", (F.col("drift") * 1e3).alias("drift"), site.polynomial([1.0, 2.0, -3.0, 0.5], y).alias("density")))
+
+
+@query()
+def lag_bootstrap(spark, sf_dir):
+    """Lags by pre-whitened block bootstrap, and what is accepted of them from day to day."""
+    s = signal(spark, sf_dir).select("p", "rec", "w", (290 + F.col("w") * 0.3 + F.col("u") * 0.05).alias("ts"), F.col("x").alias("co2"), F.col("v").alias("h2o"))
+    options = bootstrap_lag.Bootstrap(min_lag=-2.0, max_lag=2.0, block=4.0)
+    found = bootstrap_lag.detect_lags(s, "p", ["co2", "h2o"], 10.0, options)
+    return rounded(bootstrap_lag.accept_lags(found, "p", 10.0, {"co2": "a", "h2o": "a"}, options))

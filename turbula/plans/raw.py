@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turbula.functions import stats, thermo
-from turbula.operators import correction, fluxes, footprint, masks, quality, spectra, transform, uncertainty
+from turbula.operators import bootstrap_lag, correction, fluxes, footprint, masks, quality, spectra, transform, uncertainty
 from turbula.plans.config import Run
 from turbula.plans.stage import kept
 
@@ -65,9 +65,16 @@ def align(df: DataFrame, run: Run, scalars: list[str]) -> tuple[DataFrame, list[
         return df, []
     if run.lag == "constant":
         return transform.shift(df, "period", scalars, run.default_lag), []
+    names = [f"{x}_{c}" for c in scalars for x in ("lag", "default_lag")]
+    if run.lag == "pwb":
+        df = kept(df)  # read for the lags, and again to apply them
+        found = bootstrap_lag.detect_lags(df, "period", scalars, run.hertz, run.bootstrap, run.default_lag)
+        lags = bootstrap_lag.accept_lags(found, "period", run.hertz, run.instruments, run.bootstrap)
+        each = [F.max(F.when(F.col("gas") == c, x)).alias(f"{n}_{c}") for c in scalars for n, x in (("lag", F.col("applied")), ("default_lag", F.col("reliability") == "fallback"))]
+        return transform.apply_own_lags(df.join(lags.groupBy("period").agg(*each), "period", "left"), "period", scalars), names
     lags = range(run.lag_range[0], run.lag_range[1] + 1)
     df = transform.align_to_best_lags(df, "period", "w", scalars, lags, run.default_lag, fallback=run.lag.endswith("default"))
-    return df, [f"{x}_{c}" for c in scalars for x in ("lag", "default_lag")]
+    return df, names
 
 
 def fluctuate(df: DataFrame, run: Run, columns: list[str]) -> DataFrame:
