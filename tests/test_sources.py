@@ -113,3 +113,33 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["period"], r["h"]) for r in back.collect()) == [(0, None), (1, 2.5)]
     sinks.write_network_file(results, str(tmp_path / "net"), {"h": (10.0, 1.0)})
     assert sinks.read_essentials(spark, str(tmp_path / "net"), "period long, h double").first()["h"] == 26.0
+
+
+def test_biomet_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("DATE,TIME,Ta,Rh\nD,2024-03-01,0000,10,50\nE,2024-03-01,0030,1,1\nD,,2024-03-01,0030,x,60\nD,2024-03-01\nD,nonsense,0000,3,4\n")
+    df = biomet.read_biomet(spark, str(tmp_path), ["Ta", "Rh"], [1, 2], "yyyy-mm-ddHHMM", label="D", step_seconds=1800, reference="begin")
+    got = sorted(((r["ts"], r["Ta"], r["Rh"]) for r in df.collect()), key=str)
+    assert got == [(1709253000, 10.0, 50.0), (1709254800, None, 60.0), (None, 3.0, 4.0)]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "e.csv").write_text("only a header\n")
+    assert biomet.read_biomet(spark, str(tmp_path / "b"), ["Ta"], [1], "yyyymmdd").count() == 0
+
+
+@pytest.mark.parametrize("nature, unit, label, value, want", [
+    ("TEMPERATURE", "CF", "", 5000.0, 283.15), ("TEMPERATURE", "K", "", 280.0, 280.0), ("RELATIVE_HUMIDITY", "#", "", 0.5, 50.0), ("PRESSURE", "ATM", "", 1.0, 98066.5),
+    ("PRECIPITATION", "mm", "", 3.0, 0.003), ("SPEED", "MM/S", "", 1500.0, 1.5), ("CONCENTRATION", "PPT", "CO2", 0.4, 400.0), ("CONCENTRATION", "PPM", "N2O", 0.3, 300.0), ("ANGLE", "C", "", 5.0, 5.0),
+])
+def test_biomet_units(spark, nature, unit, label, value, want):
+    assert spark.range(1).select(biomet.to_standard(F.lit(value), nature, unit, label)).first()[0] == pytest.approx(want)
+
+
+def test_dynamic_metadata(spark, tmp_path):
+    (tmp_path / "dyn.csv").write_text("Date,Time,Canopy_Height,master_sonic_model,latitude\n2024-03-01,00:00,2,csi_csat3_1,45\n2024-03-02,12:00,x,hs_50_1,\nbad,row,9,9,9\n")
+    dynamic = metadata.read_dynamic(spark, str(tmp_path / "dyn.csv"))
+    rows = dynamic.orderBy("valid_from").collect()
+    assert [(r["valid_from"], r["canopy_height"], r["master_sonic_model"]) for r in rows] == [(1709251200, 2.0, "csi_csat3_1"), (1709380800, None, "hs_50_1")]
+    assert rows[0]["displacement_height"] == pytest.approx(1.34) and rows[0]["roughness_length"] == pytest.approx(0.3)
+    periods = spark.createDataFrame([("a", 1709251199), ("a", 1709251200), ("a", 1709400000)], "station string, end long")
+    known = metadata.SiteInfo(latitude=40.0, canopy_height=1.0)
+    got = metadata.with_dynamic(periods, dynamic.withColumn("station", F.lit("a")), "end", ["station"], known).orderBy("end").collect()
+    assert [(r["canopy_height"], r["latitude"], r["master_sonic_model"]) for r in got] == [(1.0, 40.0, None), (2.0, 45.0, "csi_csat3_1"), (1.0, 40.0, "hs_50_1")]

@@ -83,3 +83,10 @@ def absolute_limits(df: DataFrame, period: str, limits: dict[str, tuple[float, f
 def valid_records(columns: list[str]) -> Column:
     """Number of records with any valid value."""
     return F.count_if(F.coalesce(*columns).isNotNull())
+
+
+def beyond_deviations(df: DataFrame, keys: list[str], columns: list[str], deviations: float = 3.5) -> DataFrame:
+    """Values at or beyond so many deviations of the population from their mean become null, once."""
+    over = Window.partitionBy(*keys)
+    inside = {c: F.abs(F.col(c) - F.avg(c).over(over)) < deviations * F.stddev_pop(c).over(over) for c in columns}
+    return df.withColumns({c: F.when(ok, F.col(c)) for c, ok in inside.items()})

@@ -81,6 +81,31 @@ def exponential_average(df: DataFrame, period: str, columns: list[str], hertz: f
     return df.groupBy(period).applyInPandas(run, schema)
 
 
+def centred_average(df: DataFrame, period: str, columns: list[str], records: int, rec: str = "rec") -> DataFrame:
+    """Mean over ``records // 2`` records on either side, as ``<column>_c``.
+
+    Near the ends of a period the window shrinks on both sides alike. Missing
+    values count for nothing; a window without any other is null.
+    """
+    half = records // 2
+    schema = df.select("*", *[F.lit(None).cast("double").alias(f"{c}_c") for c in columns]).schema
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(rec)
+        place = np.arange(len(f))
+        reach = np.minimum(half, np.minimum(place, len(f) - 1 - place))
+        for c in columns:
+            x = f[c].to_numpy(float)
+            known = ~np.isnan(x)
+            sums, counts = (np.concatenate(([0.0], np.cumsum(v))) for v in (np.where(known, x, 0.0), known))
+            n = counts[place + reach + 1] - counts[place - reach]
+            mean = np.divide(sums[place + reach + 1] - sums[place - reach], n, out=np.full(len(f), np.nan), where=n > 0)
+            f[f"{c}_c"] = pd.array(mean, dtype="Float64") if np.isnan(mean).any() else mean
+        return f
+
+    return df.groupBy(period).applyInPandas(run, schema)
+
+
 def difference(df: DataFrame, period: str, column: str, rec: str = "rec") -> DataFrame:
     """First difference, as ``<column>_d``."""
     return df.withColumn(f"{column}_d", F.col(column) - F.lag(column).over(_ordered(period, rec)))
@@ -320,5 +345,64 @@ def crosswind_temperature(ts: Column, u: Column, v: Column, a: float = 0.75, b:
     return ts + (a * u * u + b * v * v + c * u * v) / 1209.0
 
 
+def cartesian_from_polar(direction: Column, speed: Column) -> tuple[Column, Column]:
+    """u and v from a wind direction in degrees and a speed."""
+    return speed * F.cos(F.radians(direction)), -speed * F.sin(F.radians(direction))
+
+
+def cartesian_from_axes(a1: Column, a2: Column, a3: Column) -> tuple[Column, Column, Column]:
+    """u, v and w from the velocities along an anemometer's three sound paths."""
+    # The maker's constants.
+    return (2 * a1 - a2 - a3) / 2.1213, (a3 - a2) / 1.2247, (a1 + a2 + a3) / 2.1213
+
+
+# Anemometers whose axes stand 30 degrees off the spar, those with a mirrored v, and north offsets in degrees by model.
+AXIS_MODELS = ("hs_50", "hs_100", "r3_50", "r3_100", "r3a_100", "wm", "wmpro")
+MIRRORED_MODELS = ("usa1_standard", "usa1_fast")
+NORTH_OFFSETS = {"csi_csat3": -180.0, "csi_csat3b": -180.0, "csi_csat3a": -180.0, "csi_csat3c": -180.0, "csi_irgason_sonic": -180.0, "usoni3_cage_mp": 90.0, "usoni3_classa_mp": 90.0, "81000": -90.0, "81000v": -90.0, "81000re": -90.0, "81000vre": -90.0}
+
+
+def sonic_coordinates(df: DataFrame, model: str, wind_format: str = "uvw", reference: str = "spar", offsets: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """u, v and w of a right-handed frame from what a ``model`` gives: ``uvw``, ``polar_w`` (u: direction, v: speed) or ``axis``.
+
+    ``offsets`` are taken off records with all three components. The frame of
+    models with an ``axis`` reference is turned to the spar.
+    """
+    u, v, w = (F.col(x) for x in ("u", "v", "w"))
+    whole = u.isNotNull() & v.isNotNull() & w.isNotNull()
+    out = df
+    if wind_format == "polar_w":
+        made = cartesian_from_polar(u, v)
+        out = out.withColumns({n: F.when(u.isNotNull() & v.isNotNull(), x).otherwise(F.col(n)) for n, x in zip("uv", made, strict=True)})
+    elif wind_format == "axis":
+        reference = "axis"
+        made = cartesian_from_axes(u, v, w)
+        out = out.withColumns({n: F.when(whole, x).otherwise(F.col(n)) for n, x in zip("uvw", made, strict=True)})
+    out = out.withColumns({n: F.when(whole, F.col(n) - o).otherwise(F.col(n)) for n, o in zip("uvw", offsets, strict=True)})
+    sign = -1.0 if model == "r2" else 1.0
+    if model == "r2" or (model in AXIS_MODELS and reference == "axis"):
+        c, s, both = math.cos(math.radians(30)), math.sin(math.radians(30)), u.isNotNull() & v.isNotNull()
+        out = out.withColumns({"u": F.when(both, sign * u * c - v * s).otherwise(u), "v": F.when(both, sign * u * s + v * c).otherwise(v)})
+    return out.withColumn("v", -v) if model in MIRRORED_MODELS else out
+
+
+def substitute_temperature(df: DataFrame, period: str, ts: str, candidates: list[str]) -> DataFrame:
+    """``ts`` replaced, period by period, by the last of ``candidates`` with a mean between 220 and 340 K; list the most trusted last."""
+    over = _within(period)
+    fit = [F.when((F.avg(c).over(over) > 220) & (F.avg(c).over(over) < 340), F.lit(i)) for i, c in enumerate(candidates)]
+    chosen = F.coalesce(*reversed(fit))
+    out = df.withColumn("_chosen", chosen)
+    value = F.col(ts)
+    for i, c in enumerate(candidates):
+        value = F.when(F.col("_chosen") == i, F.col(c)).otherwise(value)
+    return out.withColumn(ts, value).drop("_chosen")
+
+
+def scaled_to_reference(df: DataFrame, period: str, gas: str, reference: str) -> DataFrame:
+    """A gas scaled so that its mean is the reference's, in thousandths."""
+    over = _within(period)
+    return df.withColumn(gas, F.col(gas) * F.avg(reference).over(over) / F.nullif(F.avg(gas).over(over), F.lit(0.0)) / 1000)
+
+
 def cell_temperature(inlet: Column, outlet: Column) -> Column:
     return F.coalesce(0.2 * inlet + 0.8 * outlet, inlet, outlet)

@@ -6,6 +6,11 @@ import configparser
 import re
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turbula.operators.periods import as_of_join, seconds
+
 # Analyser models by optical path.
 OPEN_PATH = ("li7500", "li7500a", "li7500rs", "li7500ds", "li7700", "ec150", "irgason", "generic_open_path", "open_path_krypton", "open_path_lyman")
 CLOSED_PATH = ("li6262", "li7000", "li7200", "li7200rs", "ec155", "generic_closed_path", "closed_path_krypton", "closed_path_lyman")
@@ -128,3 +133,43 @@ def custom_unit(label: str) -> str:
 def fraction(value: float, default: float) -> float:
     """0 to 1 as it is, over 1 to 100 as a percentage, else the default."""
     return value if 0 <= value <= 1 else value / 100 if 1 < value <= 100 else default
+
+
+# Ends of the names of dynamic metadata that are text; others are numbers.
+TEXT_TAGS = ("manufacturer", "model", "wformat", "wref", "measure_type")
+
+
+def read_dynamic(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """Metadata that change with time: ``valid_from`` (seconds) and a column for each name of the header, lower case.
+
+    ``date`` (yyyy-mm-dd) and ``time`` (HH:MM) give the time; a row without both
+    is left out. What is no number is null. Displacement and roughness follow
+    from the canopy's height where the file has no column of them.
+    """
+    df = spark.read.option("header", "true").option("sep", separator).option("mode", "PERMISSIVE").csv(path)
+    df = df.toDF(*[c.strip().lower() for c in df.columns])
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.trim("date"), F.trim("time")), F.lit("yyyy-MM-dd HH:mm"))
+    names = [c for c in df.columns if c not in ("date", "time")]
+    values = [F.trim(c).alias(c) if c.endswith(TEXT_TAGS) else F.expr(f"try_cast(trim(`{c}`) as double)").alias(c) for c in names]
+    out = df.withColumn("_ts", stamp).where("_ts is not null").select(seconds("_ts").cast("long").alias("valid_from"), *values)
+    return with_canopy(out)
+
+
+def with_canopy(df: DataFrame) -> DataFrame:
+    """Displacement and roughness from the canopy's height, where ``df`` has no column of them."""
+    # Shares of the canopy's height.
+    for name, share in (("displacement_height", 0.67), ("roughness_length", 0.15)):
+        if "canopy_height" in df.columns and name not in df.columns:
+            df = df.withColumn(name, F.col("canopy_height") * share)
+    return df
+
+
+def with_dynamic(periods: DataFrame, dynamic: DataFrame, end: str, keys: list[str], static: SiteInfo | None = None) -> DataFrame:
+    """``periods`` with the last metadata at or before their ``end`` (seconds), those of the site where they are null or not there yet.
+
+    ``keys``: the station's columns, in both tables; a station's periods are put in order together.
+    """
+    names = [c for c in dynamic.columns if c not in (*keys, "valid_from")]
+    out = as_of_join(periods, dynamic, end, "valid_from", keys, names)
+    fixed = {f.name: getattr(static, f.name) for f in fields(SiteInfo) if f.name != "columns"} if static else {}
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(fixed[c])) for c in names if c in fixed})
