@@ -27,6 +27,33 @@ def test_signs_of_fluxes(records):
         assert r["h"] > 0 and r["flux_co2"] < 10 and r["le"] > 0 and r["tau"] < 0 and r["ustar"] > 0
 
 
+def test_the_default_chain_against_numpy(records):
+    """Rotation, covariances, moist air, stability, and the open path's density terms, from the published formulas."""
+    got = {r["period"]: r for r in raw.fluxes_by_period(records, Run(lag="none", altitude=300.0, height=4.0, displacement=1.0)).collect()}
+    for period, f in records.toPandas().groupby("period"):
+        u, v, w, ts, co2, h2o = (f.sort_values("rec")[c].to_numpy() for c in ("u", "v", "w", "ts", "co2", "h2o"))
+        yaw = np.arctan2(v.mean(), u.mean())
+        u, v = u * np.cos(yaw) + v * np.sin(yaw), v * np.cos(yaw) - u * np.sin(yaw)
+        pitch = np.arctan2(w.mean(), u.mean())
+        u, w = u * np.cos(pitch) + w * np.sin(pitch), w * np.cos(pitch) - u * np.sin(pitch)
+        cov = lambda a, b: ((a - a.mean()) * (b - b.mean())).mean()
+        p, t = 1e5 * (1 - 2.25577e-5 * 300) ** 5.25588, ts.mean()
+        e = h2o.mean() * 1e-3 * 8.314 * t
+        rho_w, rho_d = e / (461.5 * t), (p - e) / (287.04 * t)
+        ta = t / (1 + 0.51 * rho_w / (rho_w + rho_d))
+        rh = min(100.0, 100 * e / (np.exp(77.345 + 0.0057 * t - 7235 / t) / t**8.2))
+        c = t - 273.15
+        rho_cp = (1859 + 0.13 * rh + (0.193 + 5.6e-3 * rh) * c + (1e-3 + 5e-5 * rh) * c * c) * rho_w + (1005 + (c + 23.12) ** 2 / 3364) * rho_d
+        ustar = (cov(w, u) ** 2 + cov(w, v) ** 2) ** 0.25
+        length = -ta * (1e5 / p) ** 0.286 * ustar**3 / (0.41 * 9.81 * cov(w, ts))
+        h, mu, sigma = rho_cp * cov(w, ts), 0.02897 / 18.02e-3, rho_w / rho_d
+        evaporation = (1 + mu * sigma) * (cov(w, h2o) * 0.01802e-3 + h * rho_w / (rho_cp * ta))
+        flux = cov(w, co2) * 1e3 + mu * evaporation * co2.mean() * 1e3 / ((1 + mu * sigma) * rho_d) + h * co2.mean() * 1e3 / (rho_cp * ta)
+        tau = np.sign(cov(w, u)) * (rho_d + rho_w) * ustar**2
+        want = {"ustar": ustar, "ta": ta, "rh": rh, "l": length, "z_l": 3 / length, "h": h, "tau": tau, "evaporation": evaporation, "le": evaporation * (3147.5 - 2.37 * ta) * 1e3, "flux_co2": flux}
+        assert {k: got[period][k] for k in want} == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("change", [{"rotation": "triple_rotation"}, {"rotation": "planar_fit"}, {"detrend": "ld"}, {"detrend": "rm"}, {"detrend": "ew"}, {"high_frequency": "horst_97"}, {"footprint": "kormann_meixner_01"}, {"uncertainty": "finkelstein_sims_01"}, {"flags": "foken_03"}, {"lag": "constant", "default_lag": 1}])
 def test_options(records, change):
     assert raw.fluxes_by_period(records, Run(**{"lag": "none"} | change)).count() == 2

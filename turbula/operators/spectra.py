@@ -35,7 +35,7 @@ def one_sided_density(x: np.ndarray, y: np.ndarray, hertz: float, window: np.nda
     density = 2 * (a.real * b.real + a.imag * b.imag) / (hertz * (window**2).sum())
     if n % 2 == 0:
         density[-1] /= 2
-    return np.fft.rfftfreq(n, 1 / hertz)[1:], density[1:]
+    return np.arange(1, n // 2 + 1) * hertz / n, density[1:]
 
 
 def cospectra(df: DataFrame, period: str, rec: str, pairs: list[tuple[str, str]], hertz: float, window: str = "hamming", max_missing: float = 1 / 3, cut_to_power_of_two: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def cospectra(df: DataFrame, period: str, rec: str, pairs: list[tuple[str, str]]
         for c in names:
             x = f[c].to_numpy(float)[:n]
             good = np.isfinite(x)
-            if n > 3 and good.sum() >= max(2, n * (1 - max_missing)):
+            if n > 3 and good.sum() >= 2 and n - good.sum() <= n * max_missing:
                 series[c] = np.interp(np.arange(n), np.flatnonzero(good), x[good])
         w = taper(window, n)
         parts = []

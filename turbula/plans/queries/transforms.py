@@ -32,7 +32,10 @@ def tf_running_mean(spark, sf_dir):
     return rounded(transform.running_mean(signal(spark, sf_dir), "p", ["u"], 30).select("p", "rec", "u_p"))
 
 
-@query()
+@query(f"""
+WITH {SIG}, i AS (SELECT p, rec, x, CASE WHEN x IS NOT NULL THEN count(x) OVER (PARTITION BY p ORDER BY rec) END AS j FROM sig),
+m AS (SELECT p, rec, x, exp(-j / 30.0::DOUBLE) * sum(CASE WHEN j = 1 THEN 1.0::DOUBLE ELSE 1 - exp(-1 / 30.0::DOUBLE) END * x * exp(j / 30.0::DOUBLE)) OVER (PARTITION BY p ORDER BY rec) AS mean FROM i)
+SELECT p, rec, {r('x')} AS x, {r('x - mean')} AS x_p FROM m""")
 def tf_exponential_average(spark, sf_dir):
     """Fluctuations about an exponentially weighted mean."""
     return rounded(transform.exponential_average(signal(spark, sf_dir).select("p", "rec", "x"), "p", ["x"], 10.0, 3.0))
@@ -126,7 +129,21 @@ def spec_explicit(spark, sf_dir):
     return rounded(spectra.explicit_cospectrum(signal(spark, sf_dir), "p", "rec", "w", "u", _K))
 
 
-@query()
+_FFT_BIN = "greatest(1, least(12, CAST(ceil(ln(freq / 0.025::DOUBLE) / (ln(5.0::DOUBLE / 0.025::DOUBLE) / 12)) AS BIGINT)))"
+_TURN = "2 * pi() * ((k * (rec - 1)) % n) / n"
+
+
+@query(f"""
+WITH {SIG}, e AS (SELECT *, count(*) OVER (PARTITION BY p) AS n, count(x) OVER (PARTITION BY p) AS nx, CASE WHEN x IS NOT NULL THEN rec END AS pos FROM sig),
+g AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS x0, last_value(pos IGNORE NULLS) OVER b AS r0, first_value(x IGNORE NULLS) OVER a AS x1, first_value(pos IGNORE NULLS) OVER a AS r1 FROM e
+WINDOW b AS (PARTITION BY p ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY p ORDER BY rec ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT p, rec, n, nx, u, w, CASE WHEN x IS NOT NULL THEN x WHEN x0 IS NULL THEN x1 WHEN x1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (rec - r0) / (r1 - r0) END AS x, 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * (rec - 1) / greatest(1, n - 1)) AS h FROM g),
+c AS (SELECT p, rec, n, nx, h, (u - avg(u) OVER (PARTITION BY p)) * h AS u, (w - avg(w) OVER (PARTITION BY p)) * h AS w, (x - avg(x) OVER (PARTITION BY p)) * h AS x FROM f),
+k AS (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM c),
+s AS (SELECT p, k, n, nx, sum(h * h) AS hh, {", ".join(f"sum({v} * {fn}({_TURN})) AS {v}{t}" for v in "uwx" for fn, t in (("cos", "r"), ("sin", "i")))} FROM k GROUP BY ALL),
+d AS (SELECT p, k * 10.0::DOUBLE / n AS freq, 2 / (10 * hh) * CASE WHEN 2 * k = n THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS q, nx, n, wr * ur + wi * ui AS wu, wr * xr + wi * xi AS wx, ur * ur + ui * ui AS uu FROM s WHERE n > 3),
+l AS (SELECT p, 'w_u' AS pair, freq, q * wu AS density FROM d UNION ALL SELECT p, 'u_u', freq, q * uu FROM d UNION ALL SELECT p, 'w_x', freq, q * wx FROM d WHERE nx >= greatest(2, n * 2 / 3.0::DOUBLE))
+SELECT p, pair, {_FFT_BIN} AS bin, {r('avg(freq)')} AS freq, {r('avg(density)')} AS density, count(*) AS n FROM l WHERE freq BETWEEN 0.025 AND 5.0 GROUP BY ALL""")
 def spec_fft(spark, sf_dir):
     """Binned cospectra of all periods."""
     s = signal(spark, sf_dir)
@@ -343,7 +360,10 @@ def ens_noise(spark, sf_dir):
     return rounded(ensemble.remove_noise(_spectrum(spark, sf_dir), ["p"], 2.0).select("p", "freq", "density"))
 
 
-@query()
+@query(f"""
+WITH {_SPEC}, b AS (SELECT p % 3 AS class, {_BIN} AS bin FROM spec WHERE freq BETWEEN 0.02 AND 4.0),
+e AS (SELECT class, bin FROM b GROUP BY ALL HAVING count(*) >= 5)
+SELECT class, count(*) AS n, 1.0::DOUBLE AS p1, {r('(class + 1) / 10.0::DOUBLE')} AS p2 FROM e GROUP BY class""")
 def ens_fit(spark, sf_dir):
     """First-order model fitted to each class of ensemble spectra."""
     s = ens_class_average(spark, sf_dir)
