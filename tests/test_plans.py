@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from turbula.plans import raw
 from turbula.plans.config import Run, express
+from turbula.sources import sinks
 from turbula.streaming import online
 
 
@@ -54,6 +55,22 @@ def test_the_default_chain_against_numpy(records):
         assert {k: got[period][k] for k in want} == pytest.approx(want, rel=1e-9)
 
 
+def test_a_stored_plane_is_used_again(records, tmp_path):
+    run = Run(lag="none", rotation="planar_fit")
+    sinks.write_model(raw.fit_planes(raw.masked(records, run, ["co2", "h2o"])), str(tmp_path / "planes"))
+    again = raw.fluxes_by_period(records, run, planes=records.sparkSession.read.parquet(str(tmp_path / "planes"))).orderBy("period").collect()
+    for a, b in zip(again, raw.fluxes_by_period(records, run).orderBy("period").collect(), strict=True):
+        assert a["h"] == pytest.approx(b["h"], rel=1e-9) and a["mean_w"] == pytest.approx(b["mean_w"], abs=1e-12)
+    tilted = records.sparkSession.createDataFrame([(1, 0.0, 0.1, 0.0)], "sector long, b0 double, b1 double, b2 double")
+    assert raw.fluxes_by_period(records, run, planes=tilted).orderBy("period").first()["mean_w"] < again[0]["mean_w"] - 0.1
+
+
+def test_statistics_follow_the_steps(records):
+    got = {(r["period"], r["level"], r["variable"]): r for r in raw.statistics_by_level(records, Run(despike="median", lag="maxcov", detrend="ld")).collect()}
+    assert len(got) == 2 * 6 * 6
+    assert abs(got[0, 4, "w"]["mean"]) < 1e-9 < abs(got[0, 1, "w"]["mean"]) and abs(got[0, 6, "ts"]["mean"]) < 1e-6 and got[0, 5, "co2"]["n"] <= got[0, 4, "co2"]["n"] == 600
+
+
 @pytest.mark.parametrize("change", [{"rotation": "triple_rotation"}, {"rotation": "planar_fit"}, {"detrend": "ld"}, {"detrend": "rm"}, {"detrend": "ew"}, {"high_frequency": "horst_97"}, {"footprint": "kormann_meixner_01"}, {"uncertainty": "finkelstein_sims_01"}, {"flags": "foken_03"}, {"lag": "constant", "default_lag": 1}])
 def test_options(records, change):
     assert raw.fluxes_by_period(records, Run(**{"lag": "none"} | change)).count() == 2

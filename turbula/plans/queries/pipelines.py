@@ -36,6 +36,30 @@ def plan_planar_fit(spark, sf_dir):
     return rounded(raw.fluxes_by_period(_records(spark, sf_dir), Run(max_missing_percent=40.0, rotation="planar_fit", detrend="ld", lag="none", high_frequency="massman_00")))
 
 
+_RAW = "raw AS (SELECT p AS period, rec, u, v, w, 290 + w * 0.3::DOUBLE + u * 0.05::DOUBLE AS ts, 16 + x / 200 AS co2, 500 + v AS h2o FROM sig)"
+_VARIABLES = ("u", "v", "w", "ts", "co2", "h2o")
+
+
+def _level(source: str, number: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT period, {number} AS level, '{c}' AS variable, count({c}) AS n, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS sd, {r(f'min({c})')} AS lowest, {r(f'max({c})')} AS highest, {r(f'covar_pop(w, {c})')} AS cov_w FROM {source} GROUP BY period"
+        for c in _VARIABLES
+    )
+
+
+@query(f"""
+WITH {SIG}, {_RAW}, two AS (SELECT * REPLACE (CASE WHEN count(co2) OVER q >= 0.6 * count(*) OVER q THEN co2 END AS co2) FROM raw WINDOW q AS (PARTITION BY period)),
+m AS (SELECT *, atan2(avg(v) OVER q, avg(u) OVER q) AS yaw, atan2(avg(w) OVER q, sqrt(pow(avg(u) OVER q, 2) + pow(avg(v) OVER q, 2))) AS pitch FROM two WINDOW q AS (PARTITION BY period)),
+four AS (SELECT period, rec, (u * cos(yaw) + v * sin(yaw)) * cos(pitch) + w * sin(pitch) AS u, v * cos(yaw) - u * sin(yaw) AS v, w * cos(pitch) - (u * cos(yaw) + v * sin(yaw)) * sin(pitch) AS w, ts, co2, h2o FROM m),
+five AS (SELECT period, rec, u, v, w, ts, lead(co2, 2) OVER q AS co2, lead(h2o, 2) OVER q AS h2o FROM four WINDOW q AS (PARTITION BY period ORDER BY rec)),
+six AS (SELECT period, {", ".join(f"{c} - avg({c}) OVER (PARTITION BY period) AS {c}" for c in _VARIABLES)} FROM five)
+{" UNION ALL ".join(_level(s, i) for i, s in enumerate(("raw", "two", "two", "four", "five", "six"), 1))}""")
+def plan_statistics(spark, sf_dir):
+    """Statistics of every variable after each step of a run."""
+    run = Run(max_missing_percent=40.0, lag="constant", default_lag=2)
+    return rounded(raw.statistics_by_level(_records(spark, sf_dir), run).drop("skewness", "kurtosis"))
+
+
 @query()
 def plan_corrections(spark, sf_dir):
     """Spectra to cut-off frequencies to corrected fluxes."""

@@ -13,42 +13,61 @@ from turbula.plans.stage import kept
 WIND = ["u", "v", "w"]
 
 
-def prepare(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
+def prepare(records: DataFrame, run: Run, scalars: list[str], planes: DataFrame | None = None) -> DataFrame:
     """Masked, despiked and rotated records. ``records``: period, rec, u, v, w, ts and scalars.
 
     Everything up to the statistics needs the records of a period together, so
-    they are dealt out by period once and each step reuses that.
+    they are dealt out by period once and each step reuses that. ``planes``: see
+    :func:`fit_planes`; without it a planar fit takes those of these records.
     """
+    return rotated(despiked(masked(records, run, scalars), run, scalars), run, planes)
+
+
+def masked(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
+    """Records dealt out by period, without implausible values."""
     columns = [*WIND, "ts", *scalars]
     df = records.select("period", "rec", *columns).repartition("period")
     df = masks.finite(df, columns)
     df = masks.gross_limits(df, WIND, ["ts"])
     if run.limits:
         df = masks.limits_mask(df, {k: v for k, v in run.limits.items() if k in columns})
-    df = masks.corrupted_variables(df, "period", columns, None, run.max_missing_percent)
+    return masks.corrupted_variables(df, "period", columns, None, run.max_missing_percent)
+
+
+def despiked(df: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
+    columns = [*WIND, "ts", *scalars]
     if run.despike == "median":
-        df = quality.despike(df, "period", columns, "rec", "median")
-    elif run.despike == "moving":
-        df = quality.despike(df, "period", columns, "rec", "moving", window=max(60, int(run.minutes * 10 * run.hertz)))
+        return quality.despike(df, "period", columns, "rec", "median")
+    if run.despike == "moving":
+        return quality.despike(df, "period", columns, "rec", "moving", window=max(60, int(run.minutes * 10 * run.hertz)))
+    return df
+
+
+def rotated(df: DataFrame, run: Run, planes: DataFrame | None = None) -> DataFrame:
     if run.rotation in ("double_rotation", "triple_rotation"):
         df = transform.double_rotation(df, "period")
     if run.rotation == "triple_rotation":
         df = transform.third_rotation(df, "period")
     if run.rotation.startswith("planar_fit"):
-        df = planar_rotation(df, run.rotation == "planar_fit", run.sectors)
+        df = planar_rotation(df, run.rotation == "planar_fit", run.sectors, planes)
     return df
 
 
-def planar_rotation(df: DataFrame, bias: bool = True, sectors: int = 1) -> DataFrame:
-    """Turn into the plane fitted to the period means of the wind's sector, then into each period's mean wind.
+def fit_planes(df: DataFrame, bias: bool = True, sectors: int = 1) -> DataFrame:
+    """The plane of each wind sector through the period means: ``sector, b0, b1, b2``; a table to be written and given to later runs."""
+    means = df.groupBy("period").agg(*[F.avg(c).alias(c) for c in WIND])
+    means = means.withColumn("sector", transform.wind_sector(stats.wind_direction("u", "v"), sectors))
+    return transform.borrow_sectors(transform.planar_fit(means, "sector", bias=bias), "sector", sectors).select("sector", "b0", "b1", "b2")
+
+
+def planar_rotation(df: DataFrame, bias: bool = True, sectors: int = 1, planes: DataFrame | None = None) -> DataFrame:
+    """Turn into the plane (of ``planes``, or else) fitted to the period means of the wind's sector, then into each period's mean wind.
 
     A sector without a plane borrows its neighbour's; without any, its records stay as they are.
     """
     over = Window.partitionBy("period")
     mean = {c: F.avg(c).over(over) for c in WIND}
-    means = df.groupBy("period").agg(*[F.avg(c).alias(c) for c in WIND])
-    means = means.withColumn("sector", transform.wind_sector(stats.wind_direction("u", "v"), sectors))
-    fit = transform.borrow_sectors(transform.planar_fit(means, "sector", bias=bias), "sector", sectors).select("sector", "b0", "b1", "b2")
+    fit = planes if planes is not None else fit_planes(df, bias, sectors)
     df = df.withColumn("sector", transform.wind_sector(stats.wind_direction(mean["u"], mean["v"]), sectors))
     out = df.join(F.broadcast(fit), "sector", "left")  # at most 360 rows
     p = transform.planar_rotation(F.col("b1"), F.col("b2"))
@@ -87,7 +106,42 @@ def fluctuate(df: DataFrame, run: Run, columns: list[str]) -> DataFrame:
     return transform.block_average(df, "period", columns)
 
 
-def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o")) -> DataFrame:
+def statistics_by_level(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o")) -> DataFrame:
+    """Statistics of every variable after each step: one row for each ``period, level, variable``.
+
+    Levels: 1 as read, 2 without implausible values, 3 despiked, 4 rotated, 5 with
+    lags, 6 fluctuations. Columns: n, mean, sd, lowest, highest, skewness,
+    kurtosis, cov_w (with the vertical wind of the same level). What a step makes
+    is kept in the shared folder if it comes from a kernel, so none runs twice.
+    """
+    names, x = list(scalars), [*WIND, "ts", *scalars]
+    two = masked(records, run, names)
+    three = despiked(two, run, names)
+    three = kept(three) if run.despike != "none" else three
+    four = rotated(three, run)
+    five, _ = align(four, run, names)
+    five = kept(five) if run.lag not in ("none", "constant") else five
+    six = fluctuate(five, run, x).select("period", *[F.col(f"{c}_p").alias(c) for c in x])
+    levels = [records, two, three, four, five, six]
+
+    def level(df: DataFrame, number: int) -> DataFrame:
+        each = [
+            F.struct(
+                F.lit(c).alias("variable"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("lowest"), F.max(c).alias("highest"),
+                stats.helper_skewness(c).alias("skewness"), stats.helper_kurtosis(c).alias("kurtosis"), stats.covariance("w", c).alias("cov_w"),
+            )
+            for c in x
+        ]
+        rows = df.groupBy("period").agg(F.array(*each).alias("_s")).select("period", F.lit(number).alias("level"), F.inline("_s"))
+        return rows
+
+    out = level(levels[0], 1)
+    for i, df in enumerate(levels[1:], 2):
+        out = out.unionByName(level(df, i))
+    return out
+
+
+def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o"), planes: DataFrame | None = None) -> DataFrame:
     """One row per period: means, covariances, level 0 to 3 fluxes, flags and footprint.
 
     ``co2`` and ``h2o`` are densities in mmol/m3, ``ts`` is in K; for a closed
@@ -97,7 +151,7 @@ def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("
     uncertainty, a second one, the prepared records are kept.
     """
     scalars = list(scalars)
-    df, lags = align(prepare(records, run, scalars), run, scalars)
+    df, lags = align(prepare(records, run, scalars, planes), run, scalars)
     df = fluctuate(df, run, [*WIND, "ts", *scalars])
     main = scalars[0] if scalars else "ts"
     df = df.withColumn("_n", F.count("*").over(Window.partitionBy("period")))
