@@ -83,13 +83,13 @@ def drift_between_calibrations(periods: DataFrame, calibrations: DataFrame, keys
     """``periods`` with ``drift``: the offsets found at the calibrations before and after, interpolated by whole steps of ``step`` seconds.
 
     ``calibrations``: keys, ts (seconds) and offset. Null before the first and
-    after the last one of a station. One window over a station's time line.
+    after the last one of a station. Two windows over a station's time line, one
+    in each sense, as a window that ends at the line's end reads it anew for each row.
     """
     marks = calibrations.select(*keys, F.col(ts), F.struct(F.col(ts).alias("t"), F.col("offset").alias("o")).alias("_c"))
     both = periods.withColumn("_p", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    line = Window.partitionBy(*keys).orderBy(ts)
-    before = F.last("_c", ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_c", ignorenulls=True).over(line.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    line, back = Window.partitionBy(*keys).orderBy(ts), Window.partitionBy(*keys).orderBy(F.desc(ts))
+    before, after = (F.last("_c", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) for w in (line, back))
     out = both.withColumns({"_b": before, "_a": after}).where("_p")
     whole, passed = F.floor((F.col("_a.t") - F.col("_b.t")) / step), F.floor((F.col(ts) - F.col("_b.t")) / step)
     drift = F.col("_b.o") + F.when(whole > 0, (F.col("_a.o") - F.col("_b.o")) / whole * passed).otherwise(0.0)
