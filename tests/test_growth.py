@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from turbula.operators import site
+from turbula.operators import site, transform
 
 
 def frames_up_to_the_end(df) -> bool:
@@ -12,6 +12,21 @@ def frames_up_to_the_end(df) -> bool:
     return "currentrow$(), unboundedfollowing" in df._jdf.queryExecution().toString().lower()
 
 
+def test_interpolation_of_a_long_period(spark):
+    n = 60_000
+    x = np.random.default_rng(4).normal(size=n)
+    x[np.random.default_rng(5).random(n) < 0.2] = np.nan
+    x[:3] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"p": 0, "rec": np.arange(n), "x": x})).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    out = transform.interpolate_gaps(df, "p", "x")
+    assert not frames_up_to_the_end(out)
+    got = out.orderBy("rec").toPandas()["x_i"].to_numpy(float)
+    known = np.flatnonzero(~np.isnan(x))
+    want = np.interp(np.arange(n), known, x[known])
+    want[: known[0]] = want[known[-1] + 1 :] = np.nan
+    np.testing.assert_allclose(got, want, atol=1e-12)
+
+
 def test_drift_on_a_long_time_line(spark):
     n = 40_000
     points = spark.range(n).select((F.col("id") % 2).alias("site"), (F.col("id") * 5).alias("sec"))

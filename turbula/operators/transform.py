@@ -116,12 +116,13 @@ def interpolate_gaps(df: DataFrame, period: str, column: str, rec: str = "rec",
 
     Records before the first and after the last valid value stay missing; a
     variable with more than ``max_missing`` of its records missing is all null.
+    What comes after a record is what comes before it from the other end: a window
+    up to the period's end would read the rest of it anew for each record.
     """
-    w = _ordered(period, rec)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (_ordered(period, rec), Window.partitionBy(period).orderBy(F.desc(rec))))
     place = F.when(F.col(column).isNotNull(), F.col(rec))
-    x0, x1 = F.last(place, ignorenulls=True).over(back), F.first(place, ignorenulls=True).over(ahead)
-    y0, y1 = F.last(column, ignorenulls=True).over(back), F.first(column, ignorenulls=True).over(ahead)
+    x0, x1 = F.last(place, ignorenulls=True).over(back), F.last(place, ignorenulls=True).over(ahead)
+    y0, y1 = F.last(column, ignorenulls=True).over(back), F.last(column, ignorenulls=True).over(ahead)
     value = F.when(x1 == x0, y0).otherwise(y0 + (y1 - y0) * (F.col(rec) - x0) / F.nullif(x1 - x0, F.lit(0)))
     share = 1 - F.count(column).over(_within(period)) / F.count("*").over(_within(period))
     return df.withColumn(f"{column}_i", F.when(share <= max_missing, value))
