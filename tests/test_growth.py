@@ -1,10 +1,12 @@
 """Steps whose cost once grew faster than their input: the same results, by a form that grows with it."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from turbula.operators import site, transform
+from turbula.operators import footprint, site, transform
 
 
 def frames_up_to_the_end(df) -> bool:
@@ -45,3 +47,29 @@ def test_drift_on_a_long_time_line(spark):
         want = ob + np.where(whole > 0, (oa - ob) / np.maximum(whole, 1) * passed, 0.0)
         assert part["drift"].isna().to_numpy().tolist() == (~ok).tolist()
         np.testing.assert_allclose(part["drift"].to_numpy(float)[ok], want, atol=1e-12)
+
+
+def test_footprint_sums_stop_at_the_last_share(monkeypatch):
+    """The first metres at which a plain running sum exceeds the shares; little is summed beyond the last of them."""
+    i = np.arange(600)
+    us, zl, u = 0.1 + i % 37 / 50, i % 23 / 10 - 1, 1 + i % 13 / 2
+    summed = []
+    plain = np.exp
+    monkeypatch.setattr(np, "exp", lambda z: (summed.append(np.size(z)), plain(z))[1])
+    got = footprint._kormann(3.0, us, zl, u)
+    monkeypatch.undo()
+    assert sum(summed) < 600 * 4000
+    with np.errstate(all="ignore"):
+        stable = zl > 0
+        inner = np.where(stable, 1.0, 1 - 16 * zl)
+        phi_m = np.where(stable, 1 + 5 * zl, inner**-0.25)
+        phi_c = np.where(stable, phi_m, inner**-0.5)
+        n, m = np.where(stable, 1 / phi_m, (1 - 24 * zl) / inner), us * phi_m / (0.41 * u)
+    r = 2 + m - n
+    mu, zeta = (1 + m) / r, u / 3.0**m * 3.0**r / (r * r * (0.41 * us * 3.0 / (phi_c * 3.0**n)))
+    x = np.arange(1.0, 10_001)
+    for k in range(0, 600, 7):
+        total = np.cumsum(np.exp(mu[k] * np.log(zeta[k]) - zeta[k] / x - (1 + mu[k]) * np.log(x)) / math.gamma(mu[k]))
+        for name, share in footprint.SHARES.items():
+            over = np.flatnonzero(total > share)
+            assert got[name][k] == over[0] + 1 if len(over) else np.isnan(got[name][k])

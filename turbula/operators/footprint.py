@@ -40,7 +40,6 @@ def hsieh_scale(zm: float, z0: float) -> float:
 
 
 def _kormann(zm: float, ustar: np.ndarray, zl: np.ndarray, wind: np.ndarray, steps: int = 10_000) -> dict[str, np.ndarray]:
-    gamma = np.frompyfunc(math.gamma, 1, 1)
     stable = zl > 0
     with np.errstate(all="ignore"):
         inner = np.where(stable, 1.0, 1 - 16 * zl)
@@ -53,15 +52,36 @@ def _kormann(zm: float, ustar: np.ndarray, zl: np.ndarray, wind: np.ndarray, ste
         mu = (1 + m) / r
         zeta = (wind / zm**m) * zm**r / (r * r * key)
         out = {"peak": zeta / (1 + mu)}
-    found = {name: np.full(len(ustar), np.nan) for name in SHARES}
-    x = np.arange(1.0, steps + 1)
-    for i in np.flatnonzero(np.isfinite(zeta) & np.isfinite(mu) & (mu > 0) & (zeta > 0)):
-        total = np.cumsum(np.exp(mu[i] * np.log(zeta[i]) - zeta[i] / x - (1 + mu[i]) * np.log(x)) / float(gamma(mu[i])))
-        for name, share in SHARES.items():
-            at = int(np.searchsorted(total, share, "right"))
-            if at < steps:
-                found[name][i] = x[at]
-    return out | found
+    rows = np.flatnonzero(np.isfinite(zeta) & np.isfinite(mu) & (mu > 0) & (zeta > 0))
+    found = np.full((len(ustar), len(SHARES)), np.nan)
+    found[rows] = _reached(mu[rows], zeta[rows], np.array(list(SHARES.values())), steps)
+    return out | dict(zip(SHARES, found.T, strict=True))
+
+
+def _reached(mu: np.ndarray, zeta: np.ndarray, shares: np.ndarray, steps: int, cells: int = 1 << 16) -> np.ndarray:
+    """The first whole metre at which each running sum exceeds each of ``shares`` (ascending); nan beyond ``steps``.
+
+    Summed in blocks of steps that double, each over the rows that have not yet
+    reached the last share, ``cells`` values at a time; the sums are the same.
+    """
+    gamma = np.array([math.gamma(x) for x in mu])
+    at, total, begin, width = np.zeros((len(mu), len(shares))), np.zeros(len(mu)), 0, 128
+    active = np.arange(len(mu))
+    while begin < steps and len(active):
+        end = min(steps, begin + width)
+        x = np.arange(begin + 1.0, end + 1)
+        log_x = np.log(x)
+        for part in np.array_split(active, -(-len(active) * (end - begin) // cells)):
+            m, z = mu[part, None], zeta[part, None]
+            sums = np.exp(m * np.log(z) - z / x - (1 + m) * log_x) / gamma[part, None]
+            sums[:, 0] += total[part]
+            np.cumsum(sums, axis=1, out=sums)
+            for i, row in zip(part, sums, strict=True):
+                at[i] += row.searchsorted(shares, "right")
+            total[part] = sums[:, -1]
+        active = active[total[active] <= shares[-1]]
+        begin, width = end, width * 2
+    return np.where(at < steps, at + 1, np.nan)
 
 
 def kormann_meixner_01(ustar: Column, z_over_l: Column, wind: Column, zm: float) -> Column:
