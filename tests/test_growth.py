@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from turbula.operators import footprint, site, transform
+from turbula.operators import footprint, periods, site, transform
 
 
 def frames_up_to_the_end(df) -> bool:
@@ -73,3 +74,23 @@ def test_footprint_sums_stop_at_the_last_share(monkeypatch):
         for name, share in footprint.SHARES.items():
             over = np.flatnonzero(total > share)
             assert got[name][k] == over[0] + 1 if len(over) else np.isnan(got[name][k])
+
+
+@pytest.mark.parametrize("side", ["later", "strictly_later", "before", "strictly_before", "either"])
+def test_tolerance_match_meets_no_pairs(spark, side):
+    """Nearest times against a plain search; a point isn't copied, nor joined with all times near it."""
+    rng = np.random.default_rng(6)
+    at, times = rng.integers(-400, 3000, 500), np.unique(np.concatenate((rng.integers(-500, 800, 60), rng.integers(1500, 2600, 200))))
+    rows = [(int(i), int(t)) for i, t in enumerate(at)] + [(0, int(at[0])), (900, None)]
+    points, series = spark.createDataFrame(rows, "id long, t long"), spark.createDataFrame([(int(t),) for t in times] + [(None,)], "s long")
+    out = periods.tolerance_match(points, series, "t", "s", 20, side)
+    assert "join" not in out._jdf.queryExecution().toString().lower()
+    want = set()
+    for i, t in rows[:500]:
+        gaps = [s - t for s in times.tolist()]
+        ok = {"later": lambda g: 0 <= g <= 20, "strictly_later": lambda g: 0 < g <= 20, "before": lambda g: -20 <= g <= 0, "strictly_before": lambda g: -20 <= g < 0, "either": lambda g: abs(g) <= 20}[side]
+        near = sorted((abs(g), t + g) for g in gaps if ok(g))
+        if near:
+            want.add((i, t, near[0][1]))
+    got = [tuple(r) for r in out.collect()]
+    assert out.columns == ["id", "t", "matched"] and len(got) == len(want) and set(got) == want

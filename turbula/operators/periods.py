@@ -91,22 +91,31 @@ def as_of_join(left: DataFrame, right: DataFrame, ts: str, right_ts: str, keys:
 def tolerance_match(points: DataFrame, series: DataFrame, ts: str, series_ts: str, seconds: int, side: str = "either") -> DataFrame:
     """For each point, the nearest series time within ``seconds``: later, strictly_later, before, strictly_before or either.
 
-    Ties go to the earlier time. Both sides are put into buckets of ``seconds``; a
-    point looks into its own bucket and those beside it.
+    Ties go to the earlier time. Both sides are put into buckets of ``seconds``, and
+    each bucket also gets the series' last time of the bucket before and its first
+    of the one after. One sort of a bucket then tells the times about each point,
+    so the work grows with the rows, not with the pairs of near ones.
     """
-    gap = F.col(series_ts) - F.col(ts)
-    allowed = {
-        "later": (gap >= 0) & (gap <= seconds),
-        "strictly_later": (gap > 0) & (gap <= seconds),
-        "before": (gap <= 0) & (gap >= -seconds),
-        "strictly_before": (gap < 0) & (gap >= -seconds),
-        "either": F.abs(gap) <= seconds,
-    }[side]
-    bucket = F.floor(F.col(ts) / seconds)
-    looks = points.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    near = looks.join(series.withColumn("_bucket", F.floor(F.col(series_ts) / seconds)), "_bucket").where(allowed)
-    best = F.min(F.struct(F.abs(gap).alias("d"), F.col(series_ts).alias("t")))
-    return near.groupBy(*points.columns).agg(best["t"].alias("matched"))
+    bucket, t = F.floor(F.col(series_ts) / seconds), F.col(series_ts)
+    ends = series.where(t.isNotNull()).groupBy(bucket.alias("_bucket")).agg(F.min(t).alias("_a"), F.max(t).alias("_z"))
+    beside = [F.struct((F.col("_bucket") + step).alias("_bucket"), F.col(c).alias("_t")) for step, c in ((1, "_z"), (-1, "_a"))]
+    near = ends.select(F.inline(F.array(*beside)))
+    times = series.where(t.isNotNull()).select(bucket.alias("_bucket"), t.alias("_t")).unionByName(near)
+    # A point comes after the series' rows of its own time, or before them if these are not to count.
+    own = points.select(F.floor(F.col(ts) / seconds).alias("_bucket"), F.col(ts).alias("_at"), F.lit(1).alias("_point"), F.struct(*points.columns).alias("_row")).where("_at is not null")
+    both = own.unionByName(times.select("_bucket", F.col("_t").alias("_at"), F.lit(0).alias("_point"), "_t"), allowMissingColumns=True)
+    at, turn = F.col("_at"), F.lit(-1 if side.startswith("strictly") else 1) * F.col("_point")
+    line, back = (Window.partitionBy("_bucket").orderBy(o, turn).rowsBetween(Window.unboundedPreceding, 0) for o in (at.asc(), at.desc()))
+    before, after = (F.last("_t", ignorenulls=True).over(w) for w in (line, back))
+    if side not in ("either", "before", "strictly_before"):
+        before = F.lit(None).cast("long")
+    if side not in ("either", "later", "strictly_later"):
+        after = F.lit(None).cast("long")
+    known = both.withColumns({"_before": F.when(at - before <= seconds, before), "_after": F.when(after - at <= seconds, after)}).where("_point = 1")
+    later = F.col("_before").isNull() | (F.col("_after") - at < at - F.col("_before"))
+    known = known.withColumn("_matched", F.when(later & F.col("_after").isNotNull(), F.col("_after")).otherwise(F.col("_before"))).where("_matched is not null")
+    # Equal points are one row; they lie in one bucket.
+    return known.groupBy("_bucket", "_row").agg(F.first("_matched").alias("matched")).select("_row.*", "matched")
 
 
 def common_step(df: DataFrame, ts: str, keys: tuple[str, ...] = ()) -> DataFrame:
