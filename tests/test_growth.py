@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from turbula.operators import footprint, periods, site, transform
+from turbula import catalog
+from turbula.operators import correction, footprint, periods, site, transform
 
 
 def frames_up_to_the_end(df) -> bool:
@@ -94,3 +95,18 @@ def test_tolerance_match_meets_no_pairs(spark, side):
             want.add((i, t, near[0][1]))
     got = [tuple(r) for r in out.collect()]
     assert out.columns == ["id", "t", "matched"] and len(got) == len(want) and set(got) == want
+
+
+def test_model_factor_makes_no_row_for_each_frequency(spark):
+    """The same factors as by the grid's rows, within the task of the period."""
+    df = spark.createDataFrame([(i, 0.5 + i % 9 / 2 if i % 11 else None, i % 7 / 3 - 1 if i % 13 else None) for i in range(300)], "i long, u double, zl double")
+    f, xp = F.col("f"), correction.Arrays
+    want = correction.correction_factors(df, correction.frequency_grid(spark), "i", correction.model_cospectrum(f * 3.0 / F.col("u"), f, F.col("zl")), correction.first_order(f, 0.1) * correction.high_pass(f, "ld", 30, 10.0, 60.0))
+    factor = correction.analytic_factor(
+        F.col("u"), F.col("zl"), lambda f, u, zl: correction.model_cospectrum(f * 3.0 / u, f, zl, xp=xp), lambda f, u, zl: correction.first_order(f, 0.1, xp) * correction.high_pass(f, "ld", 30, 10.0, 60.0, xp)
+    )
+    both = df.join(want, "i").select("u", "zl", "factor", factor.alias("got")).toPandas()
+    known = both["u"].notna() & both["zl"].notna()
+    assert (both["got"].notna() == known).all() and known.sum() > 200
+    np.testing.assert_allclose(both["got"][known].astype(float), both["factor"][known].astype(float), rtol=1e-10)
+    assert "join" not in catalog.QUERIES["bpcf_analytic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().lower()

@@ -3,18 +3,38 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class Arrays:
+    """What the functions of this module take from Spark's, for arrays: give it as ``xp``."""
+
+    sqrt, exp, sin, cos, pow, greatest = np.sqrt, np.exp, np.sin, np.cos, np.power, np.maximum
+
+    @staticmethod
+    def lit(x):
+        return x
+
+    class when:
+        def __init__(self, condition, value):
+            self.condition, self.value = condition, value
+
+        def otherwise(self, other):
+            return np.where(self.condition, self.value, other)
+
+
 def frequency_grid(spark: SparkSession, points: int = 500, lowest: float = 1 / 7200, highest: float = 10.0) -> DataFrame:
     """Logarithmically spaced frequencies, at most some hundreds: a side that is small whatever the input."""
     step = math.log(highest / lowest) / (points - 1)
     return spark.range(points).select(F.col("id").alias("k"), (F.lit(lowest) * F.exp(F.col("id") * F.lit(step))).alias("f"))
 
 
-def model_cospectrum(kf: Column, f: Column, z_over_l: Column, momentum: bool = False) -> Column:
+def model_cospectrum(kf: Column, f: Column, z_over_l: Column, momentum: bool = False, xp=F) -> Column:
     """Model cospectral density at natural frequency ``f`` and normalised frequency ``kf``."""
     # Coefficients of the stable and unstable models for scalars and momentum.
     if momentum:
@@ -23,18 +43,18 @@ def model_cospectrum(kf: Column, f: Column, z_over_l: Column, momentum: bool = F
     else:
         a0, a1, split = 0.284, 6.4, 0.54
         low, high = (12.92, 26.7, 1.375), (4.378, 3.8, 2.4)
-    a = a0 * F.pow(1 + a1 * F.greatest(z_over_l, F.lit(0.0)), F.lit(0.75))
-    stable = kf / (f * (a + 2.34 * F.pow(a, F.lit(-1.1)) * F.pow(kf, F.lit(2.1))))
-    unstable = F.when(kf < split, low[0] * kf / (f * F.pow(1 + low[1] * kf, F.lit(low[2])))).otherwise(
-        high[0] * kf / (f * F.pow(1 + high[1] * kf, F.lit(high[2])))
+    a = a0 * xp.pow(1 + a1 * xp.greatest(z_over_l, xp.lit(0.0)), xp.lit(0.75))
+    stable = kf / (f * (a + 2.34 * xp.pow(a, xp.lit(-1.1)) * xp.pow(kf, xp.lit(2.1))))
+    unstable = xp.when(kf < split, low[0] * kf / (f * xp.pow(1 + low[1] * kf, xp.lit(low[2])))).otherwise(
+        high[0] * kf / (f * xp.pow(1 + high[1] * kf, xp.lit(high[2])))
     )
-    return F.when(z_over_l > 0, stable).otherwise(unstable)
+    return xp.when(z_over_l > 0, stable).otherwise(unstable)
 
 
-def first_order(f: Column, tau: Column | float) -> Column:
+def first_order(f: Column, tau: Column | float, xp=F) -> Column:
     """Response of a sensor with time constant ``tau``."""
     x = 2 * math.pi * f * tau
-    return 1 / F.sqrt(1 + x * x)
+    return 1 / xp.sqrt(1 + x * x)
 
 
 def path_average_vector(f: Column, path: float, wind: Column) -> Column:
@@ -49,8 +69,8 @@ def path_average_scalar(f: Column, path: float, wind: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), (3 + F.exp(-x) - 4 * (1 - F.exp(-x)) / x) / x))
 
 
-def separation(f: Column, distance: float, wind: Column) -> Column:
-    return F.exp(-9.9 * F.pow(f * distance / wind, F.lit(1.5)))
+def separation(f: Column, distance: float, wind: Column, xp=F) -> Column:
+    return xp.exp(-9.9 * xp.pow(f * distance / wind, xp.lit(1.5)))
 
 
 def air_viscosity(t: Column) -> Column:
@@ -68,21 +88,21 @@ def tube(f: Column, diameter: float, length: float, flow: float, diffusivity: fl
     return F.when(reynolds < 2300, laminar).otherwise(turbulent)
 
 
-def high_pass(f: Column, method: str, minutes: float, hertz: float, seconds: float = 0.0) -> Column:
+def high_pass(f: Column, method: str, minutes: float, hertz: float, seconds: float = 0.0, xp=F) -> Column:
     """What averaging over a period and detrending leave of low frequencies; methods ba, ld, rm and ew."""
     if method in ("rm", "ew"):
         if not seconds:
-            return F.lit(1.0)
+            return xp.lit(1.0)
         eta = math.exp(-1 / (hertz * seconds))
         x = 2 * math.pi * f * (eta / (hertz * (1 - eta)))
         return x * x / (1 + x * x / eta)
     x = math.pi * f * minutes * 60
-    block = F.sin(x) * F.sin(x) / (x * x)
+    block = xp.sin(x) * xp.sin(x) / (x * x)
     if method == "ba":
         return 1 - block
     y = math.pi * f * seconds
-    line = F.sin(y) / y - F.cos(y)
-    return 1 - block - 3 * line * line / (y * y) if seconds else F.lit(1.0)
+    line = xp.sin(y) / y - xp.cos(y)
+    return 1 - block - 3 * line * line / (y * y) if seconds else xp.lit(1.0)
 
 
 def correction_factors(periods: DataFrame, grid: DataFrame, key: str, cospectrum: Column, transfer: Column) -> DataFrame:
@@ -99,6 +119,33 @@ def correction_factors(periods: DataFrame, grid: DataFrame, key: str, cospectrum
     return each.groupBy(key).agg((F.sum(area) / F.sum(area * transfer)).alias("factor"))
 
 
+def analytic_factor(wind: Column, z_over_l: Column, cospectrum: Callable, transfer: Callable, points: int = 500, lowest: float = 1 / 7200, highest: float = 10.0) -> Column:
+    """The factor of :func:`correction_factors` for one model, without a row for each period and frequency.
+
+    ``cospectrum`` and ``transfer`` are functions of frequency, wind and stability
+    as arrays (see :class:`Arrays`); each block of periods meets the whole grid of
+    :func:`frequency_grid` in its task. Null without wind or stability.
+    """
+
+    @F.pandas_udf("double")
+    def run(wind: pd.Series, z_over_l: pd.Series) -> pd.Series:
+        grid = lowest * np.exp(np.arange(points) * (math.log(highest / lowest) / (points - 1)))
+        f, width = grid[:-1], np.diff(grid)
+        inside = (f > 1 / 5000) & (f < 100)
+        f, width = f[inside], width[inside]
+        u, zl = wind.to_numpy(float), z_over_l.to_numpy(float)
+        out = np.full(len(u), np.nan)
+        rows = np.flatnonzero((u != 0) & ~np.isnan(u) & ~np.isnan(zl))
+        with np.errstate(all="ignore"):
+            for at in range(0, len(rows), 32):
+                i = rows[at : at + 32]
+                area = cospectrum(f, u[i, None], zl[i, None]) * width
+                out[i] = area.sum(1) / (area * transfer(f, u[i, None], zl[i, None])).sum(1)
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
+
+    return run(wind, z_over_l)
+
+
 def horst_97(wind: Column, tau: float, height: Column | float, z_over_l: Column) -> Column:
     """Closed form for a first-order sensor."""
     nm = F.when(z_over_l <= 0, 0.085).otherwise(2 - 1.915 / (1 + 0.5 * z_over_l))

@@ -275,9 +275,12 @@ def _with_factor(row: DataFrame, run: Run) -> DataFrame:
         return row.withColumn("factor", correction.massman_00(u, z, zl, run.sensor_tau, run.minutes, run.detrend))
     if run.high_frequency == "ibrom_07":
         return row.withColumn("factor", correction.ibrom_07(*run.ibrom, u, F.lit(run.cutoff)))
-    f = F.col("f")
-    transfer = correction.first_order(f, run.sensor_tau) * correction.high_pass(f, run.detrend, run.minutes, run.hertz, run.time_constant)
-    model = correction.model_cospectrum(f * z / u, f, zl)
-    ready = row.select("period", "wind_speed", "z_l").where("wind_speed > 0 and z_l is not null")
-    factors = correction.correction_factors(ready, correction.frequency_grid(row.sparkSession), "period", model, transfer)
-    return row.join(factors, "period", "left")
+    xp = correction.Arrays
+
+    def model(f, u, zl):
+        return correction.model_cospectrum(f * z / u, f, zl, xp=xp)
+
+    def transfer(f, u, zl):
+        return correction.first_order(f, run.sensor_tau, xp) * correction.high_pass(f, run.detrend, run.minutes, run.hertz, run.time_constant, xp)
+
+    return row.withColumn("factor", correction.analytic_factor(F.when(u > 0, u), zl, model, transfer))
