@@ -73,3 +73,20 @@ def test_noisy_or():
     one = found[0][2]
     assert p == pytest.approx(1 - (1 - one) ** 2, rel=1e-6)
     assert model.document(b"good day")[0] == pytest.approx(1 / (1 + np.exp(9.0)), rel=1e-6)
+
+
+def test_all_labelled_documents_train_the_quality_model(spark, make_docs):
+    """With many blocks the cut is the quantile of all training scores, and no label can change without effect."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["aa", "bbb", "cccc"], 30)) + "!" * int(rng.integers(0, 9)) + "." * int(rng.integers(0, 5))) for i in range(600)]
+    docs = make_docs(rows).repartition(3)
+    marks = [(i, int(t.count("!") < 4)) for i, t in rows]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    model = quality_bt.fit_quality(docs, labels, F.lit(True), block=50)
+    x, y = np.array([quality_bt.text_features(t.encode()) for _, t in rows]), np.array([m for _, m in marks])
+    np.testing.assert_allclose(model.mean, x.mean(0), atol=1e-9)
+    s, k = np.sort(model.rank(x)), int((y == 0).sum())
+    assert model.cut == pytest.approx((s[k - 1] + s[k]) / 2, abs=1e-8)
+    assert ((model.score(x) >= 0.7) == (y == 1)).mean() > 0.95
+    ranks = spark.createDataFrame([(float(v),) for v in s], "s double")
+    assert quality_bt._gap_middle(ranks, k, len(s), few=5, bins=7) == pytest.approx((s[k - 1] + s[k]) / 2, abs=1e-12)

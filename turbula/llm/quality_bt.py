@@ -3,20 +3,25 @@
 Every document gets a few shape features of its whole text. From pairs of a
 better and a worse labelled document, a linear score is learned by logistic
 loss on the difference of their features, P(a beats b) = sigmoid(s(a) - s(b)).
-A document is accepted above a quantile of the training documents' scores.
+All labelled documents take part: blocks of them learn weights of their own,
+whose mean over the blocks is the score's. A document is accepted above a
+quantile of the scores of all training documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turbula.llm.rows import keep_rows, map_rows, whole_text
+from turbula.llm.shared import written
 
 FEATURES = (
     "letters", "upper", "digits", "marks", "symbols", "exclaims", "pipes", "spaces",
@@ -68,34 +73,118 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_pairs(
-    features: np.ndarray, labels: np.ndarray, pairs: int = 12_000, accept: float = 0.7, rounds: int = 300, seed: int = 5
-) -> QualityModel:
-    """Learn from random pairs of a document with label 1 and one with label 0.
+def pair_weights(x: np.ndarray, labels: np.ndarray, turns: int = 6, rounds: int = 300) -> np.ndarray:
+    """Weights of standardised features by logistic loss on pairs of a document with label 1 and one with label 0.
 
-    The cut is the quantile of the scores at the share of label 0, moved to the
-    middle of the gap around it. Without both labels nothing can be ranked:
-    every score is then 0.5, or ``accept`` and up where all labels are 1.
+    In each turn every document of the larger class meets the next one of the
+    other, so that each document is compared at least ``turns`` times.
     """
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    width = features.shape[1] if features.size else len(FEATURES)
-    if not len(good) or not len(bad):
-        return QualityModel((0.0,) * width, (1.0,) * width, (0.0,) * width, 0.0 if len(good) else 1.0, 1.0, accept)
-    mean, spread = features.mean(0), features.std(0) + 1e-6
-    x = np.clip((features - mean) / spread, -8, 8)
-    rng = np.random.default_rng(seed)
-    difference = x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]
-    w, step = np.zeros(width), np.zeros(width)
+    i = np.arange(max(len(good), len(bad)))
+    x = np.clip(x, -8, 8)
+    shift = max(1, min(len(good), len(bad)) // turns)
+    a, b = (len(good) > len(bad)) * shift, (len(good) <= len(bad)) * shift
+    difference = np.concatenate([x[good[(i + t * b) % len(good)]] - x[bad[(i + t * a) % len(bad)]] for t in range(turns)])
+    w, step = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for _ in range(rounds):
         miss = 1 / (1 + np.exp(np.clip(difference @ w, -30, 30)))
-        step = 0.9 * step + (difference * miss[:, None]).mean(0) - 1e-4 * w
+        step = 0.9 * step + difference.T @ miss / len(difference) - 1e-4 * w
         w += 0.5 * step
-    model = QualityModel(tuple(mean), tuple(spread), tuple(w), 0.0, 1.0, accept)
+    return w
+
+
+def without_a_label(width: int, any_good: bool, accept: float) -> QualityModel:
+    """Without both labels nothing can be ranked: every score is 0.5, or ``accept`` and up where all labels are 1."""
+    return QualityModel((0.0,) * width, (1.0,) * width, (0.0,) * width, 0.0 if any_good else 1.0, 1.0, accept)
+
+
+def fit_pairs(features: np.ndarray, labels: np.ndarray, accept: float = 0.7) -> QualityModel:
+    """The model of one block of documents.
+
+    The cut is the quantile of the scores at the share of label 0, moved to the
+    middle of the gap around it.
+    """
+    n_bad = int((labels == 0).sum())
+    if not n_bad or not (labels == 1).any():
+        return without_a_label(features.shape[1] if features.size else len(FEATURES), bool((labels == 1).any()), accept)
+    mean, spread = features.mean(0), features.std(0) + 1e-6
+    model = QualityModel(tuple(mean), tuple(spread), tuple(pair_weights((features - mean) / spread, labels)), 0.0, 1.0, accept)
     s = np.sort(model.rank(features))
-    k = min(len(s) - 1, len(bad))
-    cut = (s[k - 1] + s[k]) / 2
-    scale = 4 / max(1e-6, float(np.std(s)))
-    return QualityModel(model.mean, model.spread, model.weights, float(cut), scale, accept)
+    k = min(len(s) - 1, n_bad)
+    return QualityModel(model.mean, model.spread, model.weights, float((s[k - 1] + s[k]) / 2), 4 / max(1e-6, float(np.std(s))), accept)
+
+
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, train, label: str = "quality", block: int = 4000, accept: float = 0.7, id_column: str = "doc_id", text_column: str = "text"
+) -> QualityModel:
+    """The model of all labelled documents for which ``train``, a condition on the id column, holds.
+
+    Labels other than 0 and 1, null ids and null labels are left out; of a
+    repeated id the largest label counts. Features are written once in the shared
+    folder; the driver gets sums, the weights of each block of some ``block``
+    documents, and the scores nearest to the cut.
+    """
+    key, width = F.col(id_column).cast("long"), len(FEATURES)
+    told = labels.where(key.isNotNull() & F.col(label).isin(0, 1)).where(train).groupBy(key.alias("_id")).agg(F.max(label).cast("int").alias("_label"))
+
+    def features(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
+        for ids, texts in blocks:
+            yield [ids, [text_features(t) for t in texts]]
+
+    made = map_rows(docs.where(key.isNotNull()), [key.alias("_id"), whole_text(text_column)], features, "_id long,x array<double>")
+    known = written(made.join(told, "_id").select("_id", "_label", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(width)]))
+    xs = [f"x{i}" for i in range(width)]
+    total = known.agg(F.count("*").alias("n"), F.sum("_label").alias("good"), *[F.avg(c).alias(f"m_{c}") for c in xs], *[F.stddev_pop(c).alias(f"s_{c}") for c in xs]).first()
+    n, good = total["n"], total["good"] or 0
+    if not 0 < good < n:
+        return without_a_label(width, good > 0, accept)
+    # Rounded, as sums in another order differ in their last digits.
+    mean, spread = ([round(total[f"{k}_{c}"], 10) for c in xs] for k in "ms")
+    spread = [v + 1e-6 for v in spread]
+
+    def learn(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["_id", *xs])
+        y = f["_label"].to_numpy()
+        if y.min() == y.max():
+            return pd.DataFrame({"n": [], "w": []})
+        return pd.DataFrame({"n": [len(f)], "w": [pair_weights((f[xs].to_numpy(float) - mean) / spread, y).tolist()]})
+
+    blocks = -(-n // block)
+    learned = known.groupBy(F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block")).applyInPandas(learn, "n long, w array<double>").collect()
+    size = sum(r["n"] for r in learned)
+    if not size:
+        return without_a_label(width, True, accept)
+    weights = [round(math.fsum(r["n"] * r["w"][i] for r in learned) / size, 10) for i in range(width)]
+    s = sum((F.col(c) - m) / v * w for c, m, v, w in zip(xs, mean, spread, weights, strict=True))
+    ranks = known.select(F.round(s, 10).alias("s"))
+    cut = _gap_middle(ranks, min(n - 1, n - good), n)
+    sd = ranks.agg(F.stddev_pop("s")).first()[0]
+    return QualityModel(tuple(mean), tuple(spread), tuple(weights), cut, 4 / max(1e-6, round(sd, 10)), accept)
+
+
+def _gap_middle(ranks: DataFrame, k: int, n: int, few: int = 10_000, bins: int = 1000) -> float:
+    """The middle of the ``k``-th and the next smallest of all ``n`` values of ``s``, by ever narrower histograms."""
+    low, high = ranks.agg(F.min("s"), F.max("s")).first()
+    below, inside = 0, n
+    while inside > few and high > low:
+        step = (high - low) / bins
+        at = F.least(F.floor((F.col("s") - low) / step), F.lit(bins - 1))
+        part = ranks.where(F.col("s").between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).orderBy("b").collect()
+        seen, held = below, []
+        for r in part:
+            if seen < k + 1 and seen + r["n"] >= k:
+                held.append((seen, r))
+            seen += r["n"]
+        narrower = held[0][1]["a"], held[-1][1]["z"]
+        if narrower == (low, high):
+            break
+        low, high = narrower
+        below, inside = held[0][0], sum(r["n"] for _, r in held)
+    seen, found = below, []
+    for r in ranks.where(F.col("s").between(low, high)).groupBy("s").count().orderBy("s").collect():
+        found += [r["s"] for rank in (k, k + 1) if seen < rank <= seen + r["count"]]
+        seen += r["count"]
+    return sum(found) / 2
 
 
 def labelled_texts(
@@ -122,20 +211,19 @@ def score_quality(
     labels: DataFrame,
     train,
     label: str = "quality",
-    bound: int = 4000,
+    block: int = 4000,
     accept: float = 0.7,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """Score every whole text. Returns ``doc_id, score, predicted`` (1 from ``accept`` on).
 
-    Trained on at most ``bound`` labelled documents for which ``train`` holds;
+    Trained on all labelled documents for which ``train`` holds, in blocks of some ``block``;
     only features of the text enter. Null and empty texts have features of
     zero and are scored by them. A null id is kept. Repeated rows are scored
     each. An empty table gives an empty result. Other columns play no part.
     """
-    texts, known = labelled_texts(docs, labels, label, train, bound, id_column, text_column)
-    model = fit_pairs(np.array([text_features(t) for t in texts]).reshape(len(texts), len(FEATURES)), known, accept=accept)
+    model = fit_quality(docs, labels, train, label, block, accept, id_column, text_column)
 
     def run(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
         for keys, texts in blocks:
@@ -146,10 +234,9 @@ def score_quality(
     return map_rows(docs, columns, run, "doc_id long,score double,predicted int")
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, train, label: str = "quality", bound: int = 4000, accept: float = 0.7) -> DataFrame:
+def accepted_documents(docs: DataFrame, labels: DataFrame, train, label: str = "quality", block: int = 4000, accept: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores ``accept`` or more, all columns as they are."""
-    texts, known = labelled_texts(docs, labels, label, train, bound)
-    model = fit_pairs(np.array([text_features(t) for t in texts]).reshape(len(texts), len(FEATURES)), known, accept=accept)
+    model = fit_quality(docs, labels, train, label, block, accept)
 
     def keep(texts: list[bytes]) -> list[bool]:
         return (model.score(np.array([text_features(t) for t in texts])) >= accept).tolist()
