@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turbula import catalog
-from turbula.operators import correction, footprint, periods, site, transform
+from turbula.operators import correction, footprint, periods, quality, site, transform
 
 
 def frames_up_to_the_end(df) -> bool:
@@ -110,3 +110,31 @@ def test_model_factor_makes_no_row_for_each_frequency(spark):
     assert (both["got"].notna() == known).all() and known.sum() > 200
     np.testing.assert_allclose(both["got"][known].astype(float), both["factor"][known].astype(float), rtol=1e-10)
     assert "join" not in catalog.QUERIES["bpcf_analytic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().lower()
+
+
+def test_kernels_of_a_period_hold_arrays(spark):
+    """Despiking and lags make no frame of a period; order, nulls and the columns that only pass are kept."""
+    n = 30_000
+    rng = np.random.default_rng(9)
+    w = rng.normal(size=n)
+    c = np.roll(w, 4) + 0.1 * rng.normal(size=n)
+    c[[500, 9_000]], c[[70, 71]] = 80.0, np.nan
+    df = pd.DataFrame({"p": 1, "rec": np.arange(1, n + 1), "w": w, "c": c, "name": [f"r{i}" if i % 3 else None for i in range(1, n + 1)]})
+    rows = spark.createDataFrame(df.sample(frac=1, random_state=1)).withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
+    out = transform.align_to_best_lags(quality.despike(rows, "p", ["c"], "rec", "median"), "p", "w", ["c"], range(-6, 7))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    got = out.toPandas().sort_values("rec")
+    fixed, many = quality.despike_median(c)
+    assert set(got["lag_c"]) == {4} and set(got["c_spikes"]) == {many} and many >= 2 and not got["default_lag_c"].any()
+    np.testing.assert_array_equal(got["c"].to_numpy(float), transform.moved_by(fixed, 4))
+    assert out.where("c is null").count() == 4 + np.isnan(fixed).sum() and out.where("isnan(c)").count() == 0
+    assert got["name"].where(got["name"].notna(), None).tolist() == df["name"].tolist() and (got["w"].to_numpy() == w).all()
+
+
+def test_express_plan_makes_no_frame_of_a_period(spark):
+    from turbula.plans import config, raw
+
+    rows = spark.range(400).select((F.col("id") % 2).alias("period"), F.floor(F.col("id") / 2 + 1).alias("rec"), *[F.rand(i).alias(c) for i, c in enumerate(("u", "v", "w", "co2", "h2o"))], (F.lit(290.0) + F.rand(7)).alias("ts"))
+    out = raw.fluxes_by_period(rows, config.express(despike="median", rotation="triple_rotation"))
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "_spikes" not in out.columns and out.count() == 2

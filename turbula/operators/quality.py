@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turbula.functions import stats
+from turbula.operators.arrays import over_periods
 from turbula.operators.transform import lag_table, linear_detrend
 
 
@@ -350,14 +351,9 @@ def despike_moving(x: np.ndarray, window: int, step: int = 100, factor: float =
 def despike(df: DataFrame, period: str, columns: list[str], rec: str, method: str = "median", **options) -> DataFrame:
     """Replace spikes in ``columns`` and count them as ``<column>_spikes``; ``method`` is "median" or "moving"."""
     kernel = {"median": despike_median, "moving": despike_moving}[method]
-    schema = df.select("*", *[F.lit(0).cast("long").alias(f"{c}_spikes") for c in columns]).schema
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(rec)
+    def run(x: dict) -> None:
         for c in columns:
-            x, n = kernel(f[c].to_numpy(float), **options)
-            f[c] = np.where(np.isnan(x), None, x)
-            f[f"{c}_spikes"] = n
-        return f
+            x[c], x[f"{c}_spikes"] = kernel(x[c], **options)
 
-    return df.groupBy(period).applyInPandas(run, schema)
+    return over_periods(df, period, rec, columns, columns, {f"{c}_spikes": "long" for c in columns}, run)

@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turbula.operators.arrays import over_periods
+
 
 def _within(period: str) -> Window:
     return Window.partitionBy(period)
@@ -61,24 +62,20 @@ def running_mean(df: DataFrame, period: str, columns: list[str], records: int, r
 def exponential_average(df: DataFrame, period: str, columns: list[str], hertz: float, seconds: float, rec: str = "rec") -> DataFrame:
     """Fluctuations about an exponentially weighted running mean; missing records leave the mean as it is.
 
-    A recursion, so it runs over Arrow batches of one period at a time.
+    A recursion, so it runs over the arrays of one period at a time.
     """
     keep = math.exp(-1.0 / (hertz * seconds))
-    schema = df.select("*", *[F.lit(None).cast("double").alias(f"{c}_p") for c in columns]).schema
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(rec)
+    def run(x: dict) -> None:
         for c in columns:
-            x = f[c].to_numpy(float)
-            out, mean = np.full(len(x), np.nan), np.nan
-            for i, value in enumerate(x):
+            out, mean = np.full(len(x[c]), np.nan), np.nan
+            for i, value in enumerate(x[c]):
                 if not math.isnan(value):
                     mean = value if math.isnan(mean) else keep * mean + (1 - keep) * value
                     out[i] = value - mean
-            f[f"{c}_p"] = np.where(np.isnan(out), None, out)
-        return f
+            x[f"{c}_p"] = out
 
-    return df.groupBy(period).applyInPandas(run, schema)
+    return over_periods(df, period, rec, columns, [], {f"{c}_p": "double" for c in columns}, run)
 
 
 def centred_average(df: DataFrame, period: str, columns: list[str], records: int, rec: str = "rec") -> DataFrame:
@@ -88,22 +85,16 @@ def centred_average(df: DataFrame, period: str, columns: list[str], records: int
     values count for nothing; a window without any other is null.
     """
     half = records // 2
-    schema = df.select("*", *[F.lit(None).cast("double").alias(f"{c}_c") for c in columns]).schema
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(rec)
-        place = np.arange(len(f))
-        reach = np.minimum(half, np.minimum(place, len(f) - 1 - place))
+    def run(x: dict) -> None:
         for c in columns:
-            x = f[c].to_numpy(float)
-            known = ~np.isnan(x)
-            sums, counts = (np.concatenate(([0.0], np.cumsum(v))) for v in (np.where(known, x, 0.0), known))
+            place, known = np.arange(len(x[c])), ~np.isnan(x[c])
+            reach = np.minimum(half, np.minimum(place, len(place) - 1 - place))
+            sums, counts = (np.concatenate(([0.0], np.cumsum(v))) for v in (np.where(known, x[c], 0.0), known))
             n = counts[place + reach + 1] - counts[place - reach]
-            mean = np.divide(sums[place + reach + 1] - sums[place - reach], n, out=np.full(len(f), np.nan), where=n > 0)
-            f[f"{c}_c"] = pd.array(mean, dtype="Float64") if np.isnan(mean).any() else mean
-        return f
+            x[f"{c}_c"] = np.divide(sums[place + reach + 1] - sums[place - reach], n, out=np.full(len(place), np.nan), where=n > 0)
 
-    return df.groupBy(period).applyInPandas(run, schema)
+    return over_periods(df, period, rec, columns, [], {f"{c}_c": "double" for c in columns}, run)
 
 
 def difference(df: DataFrame, period: str, column: str, rec: str = "rec") -> DataFrame:
@@ -280,16 +271,13 @@ def moved_by(y: np.ndarray, lag: int) -> np.ndarray:
 def apply_own_lags(df: DataFrame, period: str, columns: list[str], rec: str = "rec") -> DataFrame:
     """Shift each of ``columns`` by ``lag_<column>``, the same in all records of a period; a null lag shifts nothing."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(rec)
+    def run(x: dict) -> None:
         for c in columns:
-            lag = f[f"lag_{c}"].iloc[0]
-            if not pd.isna(lag):
-                out = moved_by(f[c].to_numpy(float), int(lag))
-                f[c] = pd.array(out, dtype="Float64") if np.isnan(out).any() else out
-        return f
+            lag = x[f"lag_{c}"][0]
+            if not np.isnan(lag):
+                x[c] = moved_by(x[c], int(lag))
 
-    return df.groupBy(period).applyInPandas(run, df.schema)
+    return over_periods(df, period, rec, [*columns, *[f"lag_{c}" for c in columns]], columns, {}, run)
 
 
 def align_to_best_lags(df: DataFrame, period: str, anchor: str, columns: list[str], lags: range, default: int = 0, fallback: bool = True, rec: str = "rec") -> DataFrame:
@@ -300,27 +288,21 @@ def align_to_best_lags(df: DataFrame, period: str, anchor: str, columns: list[st
     for each column. Adds ``lag_<column>`` and ``default_lag_<column>``, the same
     in all records of a period; a period without any covariance takes the default.
     """
-    more = [F.lit(0).cast("long").alias(f"lag_{c}") for c in columns] + [F.lit(False).alias(f"default_lag_{c}") for c in columns]
-    schema = df.select("*", *more).schema
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(rec)
-        x = f[anchor].to_numpy(float)
+    def run(x: dict) -> None:
+        fixed = x[anchor]
         for c in columns:
-            y = f[c].to_numpy(float)
-            size = np.abs(lagged_covariances(x, y, lags))
+            size = np.abs(lagged_covariances(fixed, x[c], lags))
             lag, edge = default, True
             if not np.isnan(size).all():
                 best = int(np.nanargmax(size))
                 known = np.flatnonzero(~np.isnan(size))
                 edge = fallback and best in (known[0], known[-1])
                 lag = default if edge else lags[best]
-            moved = moved_by(y, lag)
-            f[c] = pd.array(moved, dtype="Float64") if np.isnan(moved).any() else moved
-            f[f"lag_{c}"], f[f"default_lag_{c}"] = lag, bool(edge)
-        return f
+            x[c], x[f"lag_{c}"], x[f"default_lag_{c}"] = moved_by(x[c], lag), lag, bool(edge)
 
-    return df.groupBy(period).applyInPandas(run, schema)
+    more = {f"lag_{c}": "long" for c in columns} | {f"default_lag_{c}": "boolean" for c in columns}
+    return over_periods(df, period, rec, [anchor, *columns], columns, more, run)
 
 
 def shift(df: DataFrame, period: str, columns: list[str], lag: int, rec: str = "rec") -> DataFrame:

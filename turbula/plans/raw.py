@@ -35,12 +35,12 @@ def masked(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
 
 
 def despiked(df: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
+    """Records without spikes; how many there were is left out, or it would go with every record through the later steps."""
     columns = [*WIND, "ts", *scalars]
-    if run.despike == "median":
-        return quality.despike(df, "period", columns, "rec", "median")
-    if run.despike == "moving":
-        return quality.despike(df, "period", columns, "rec", "moving", window=max(60, int(run.minutes * 10 * run.hertz)))
-    return df
+    if run.despike == "none":
+        return df
+    options = {"window": max(60, int(run.minutes * 10 * run.hertz))} if run.despike == "moving" else {}
+    return quality.despike(df, "period", columns, "rec", run.despike, **options).drop(*[f"{c}_spikes" for c in columns])
 
 
 def rotated(df: DataFrame, run: Run, planes: DataFrame | None = None) -> DataFrame:
