@@ -138,3 +138,40 @@ def test_express_plan_makes_no_frame_of_a_period(spark):
     out = raw.fluxes_by_period(rows, config.express(despike="median", rotation="triple_rotation"))
     plan = out._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and "_spikes" not in out.columns and out.count() == 2
+
+
+@pytest.mark.parametrize("options", [{"despike": "median", "lag": "maxcov", "detrend": "ld"}, {"lag": "none", "rotation": "none"}])
+def test_statistics_of_all_levels_take_one_pass(spark, options):
+    """The records are read once for all levels, each of which has the statistics of its step alone."""
+    from turbula.plans import config, raw
+
+    names = ["u", "v", "w", "ts", "co2", "h2o"]
+    rng = np.random.default_rng(3)
+    f = pd.DataFrame({c: rng.normal(size=900) + m for c, m in zip(names, (3, 1, 0.2, 290, 16, 500))})
+    f["co2"] = np.where(np.arange(900) % 7 == 0, np.nan, f["co2"] + 0.5 * f["w"])
+    f.loc[[50, 400], ["ts", "h2o"]] = 345.0, 900.0
+    f.loc[[51, 500], "u"] = 70.0
+    f.insert(0, "rec", np.arange(900) // 3 + 1)
+    f.insert(0, "period", np.arange(900) % 3)
+    records = spark.createDataFrame(f).withColumn("co2", F.nanvl("co2", F.lit(None).cast("double"))).localCheckpoint()
+    run = config.Run(max_missing_percent=40.0, **options)
+    out = raw.statistics_by_level(records, run)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan
+    assert out.columns == ["period", "level", "variable", "n", "mean", "sd", "lowest", "highest", "skewness", "kurtosis", "cov_w"]
+    got = {(r["period"], r["level"], r["variable"]): r for r in out.collect()}
+    assert len(got) == 3 * 6 * 6 == out.count()
+    two = raw.masked(records, run, names[4:])
+    three = raw.despiked(two, run, names[4:])
+    four = raw.rotated(three, run)
+    five, _ = raw.align(four, run, names[4:])
+    six = raw.fluctuate(five, run, names).select("period", *[F.col(f"{c}_p").alias(c) for c in names])
+    for level, df in enumerate((records, two, three, four, five, six), 1):
+        for period, g in df.select("period", *names).toPandas().astype(float).groupby("period"):
+            for c in names:
+                x, r = g[c], got[int(period), level, c]
+                both = g[["w"]].assign(x=x).dropna()
+                cov = ((both["w"] - both["w"].mean()) * (both["x"] - both["x"].mean())).mean()
+                d = x - x.mean()
+                want = [x.count(), x.mean(), x.std(), x.min(), x.max(), (d**3).mean() / x.std() ** 3, (d**4).mean() / x.std() ** 4, cov]
+                np.testing.assert_allclose([r[k] for k in out.columns[3:]], want, rtol=1e-8, atol=1e-8)

@@ -23,10 +23,13 @@ def prepare(records: DataFrame, run: Run, scalars: list[str], planes: DataFrame
     return rotated(despiked(masked(records, run, scalars), run, scalars), run, planes)
 
 
-def masked(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
-    """Records dealt out by period, without implausible values."""
-    columns = [*WIND, "ts", *scalars]
-    df = records.select("period", "rec", *columns).repartition("period")
+def dealt(records: DataFrame, columns: list[str]) -> DataFrame:
+    """Records dealt out by period and put in order, which later steps keep."""
+    return records.select("period", "rec", *columns).repartition("period").sortWithinPartitions("period", "rec")
+
+
+def plausible(df: DataFrame, run: Run, columns: list[str]) -> DataFrame:
+    """Without implausible values, and without variables that miss too many in a period."""
     df = masks.finite(df, columns)
     df = masks.gross_limits(df, WIND, ["ts"])
     if run.limits:
@@ -34,6 +37,12 @@ def masked(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
     return masks.corrupted_variables(df, "period", columns, None, run.max_missing_percent)
 
 
+def masked(records: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
+    """Records dealt out by period, without implausible values."""
+    columns = [*WIND, "ts", *scalars]
+    return plausible(dealt(records, columns), run, columns)
+
+
 def despiked(df: DataFrame, run: Run, scalars: list[str]) -> DataFrame:
     """Records without spikes; how many there were is left out, or it would go with every record through the later steps."""
     columns = [*WIND, "ts", *scalars]
@@ -111,34 +120,36 @@ def statistics_by_level(records: DataFrame, run: Run, scalars: tuple[str, ...] =
 
     Levels: 1 as read, 2 without implausible values, 3 despiked, 4 rotated, 5 with
     lags, 6 fluctuations. Columns: n, mean, sd, lowest, highest, skewness,
-    kurtosis, cov_w (with the vertical wind of the same level). What a step makes
-    is kept in the shared folder if it comes from a kernel, so none runs twice.
+    kurtosis, cov_w (with the vertical wind of the same level). The steps run once:
+    a record carries what each of them changed, and a level without a change has
+    the statistics of the one before.
     """
     names, x = list(scalars), [*WIND, "ts", *scalars]
-    two = masked(records, run, names)
-    three = despiked(two, run, names)
-    three = kept(three) if run.despike != "none" else three
-    four = rotated(three, run)
-    five, _ = align(four, run, names)
-    five = kept(five) if run.lag not in ("none", "constant") else five
-    six = fluctuate(five, run, x).select("period", *[F.col(f"{c}_p").alias(c) for c in x])
-    levels = [records, two, three, four, five, six]
-
-    def level(df: DataFrame, number: int) -> DataFrame:
-        each = [
-            F.struct(
-                F.lit(c).alias("variable"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("lowest"), F.max(c).alias("highest"),
-                stats.helper_skewness(c).alias("skewness"), stats.helper_kurtosis(c).alias("kurtosis"), stats.covariance("w", c).alias("cov_w"),
-            )
-            for c in x
-        ]
-        rows = df.groupBy("period").agg(F.array(*each).alias("_s")).select("period", F.lit(number).alias("level"), F.inline("_s"))
-        return rows
-
-    out = level(levels[0], 1)
-    for i, df in enumerate(levels[1:], 2):
-        out = out.unionByName(level(df, i))
-    return out
+    levels: list[list] = []  # first level, last level with the same values, column of each variable
+
+    def noted(df: DataFrame, level: int, changed: list[str], suffix: str = "") -> DataFrame:
+        if not changed:
+            levels[-1][1] = level
+            return df
+        new = {c: f"_{level}_{c}" for c in changed}
+        levels.append([level, level, (levels[-1][2] if levels else {}) | new])
+        return df.withColumns({n: F.col(c + suffix) for c, n in new.items()})
+
+    df = noted(dealt(records, x), 1, x)
+    df = noted(plausible(df, run, x), 2, x)
+    df = noted(despiked(df, run, names), 3, x if run.despike != "none" else [])
+    if run.despike != "none" and run.rotation.startswith("planar_fit"):
+        df = kept(df)  # read for the planes, and again to turn into them
+    df = noted(rotated(df, run), 4, WIND if run.rotation != "none" else [])
+    df = noted(align(df, run, names)[0], 5, names if run.lag != "none" else [])
+    df = noted(fluctuate(df, run, x), 6, x, "_p")
+    cells = [F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b"), F.lit(i).alias("_i"), F.col(at[c]).alias("_x"), F.col(at["w"]).alias("_w")) for a, b, at in levels for i, c in enumerate(x, 1)]
+    found = df.select("period", F.inline(F.array(*cells))).groupBy("period", "_a", "_b", "_i").agg(
+        F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"), F.min("_x").alias("lowest"), F.max("_x").alias("highest"),
+        stats.helper_skewness("_x").alias("skewness"), stats.helper_kurtosis("_x").alias("kurtosis"), stats.covariance("_w", "_x").alias("cov_w"),
+    )
+    variable = F.element_at(F.array(*[F.lit(c) for c in x]), F.col("_i")).alias("variable")
+    return found.select("period", F.explode(F.sequence("_a", "_b")).alias("level"), variable, *[c for c in found.columns if c[0] != "_" and c != "period"])
 
 
 def fluxes_by_period(records: DataFrame, run: Run, scalars: tuple[str, ...] = ("co2", "h2o"), planes: DataFrame | None = None) -> DataFrame:
