@@ -70,6 +70,35 @@ def test_one_of_each_group_stays(make_docs):
     assert kept.columns == make_docs(rows).columns
 
 
+def test_common_passages_pair_no_blocks(make_docs, monkeypatch):
+    rng, asked = random.Random(4), []
+    common = [" ".join(f"c{i}w{k}" for k in range(20)) for i in range(10)]
+    rows = []
+    for g in range(100):
+        own = " ".join(f"g{g}w{k}" for k in range(30))
+        rows += [(2 * g + i, " ".join([own, *rng.sample(common, 3)])) for i in range(2)]
+
+    def seen(df, checkpointed=J.checkpointed):
+        done = checkpointed(df)
+        if done.columns == ["asking", "asked"]:
+            asked.append(done.count())
+        return done
+
+    monkeypatch.setattr(J, "checkpointed", seen)
+    got = J.jaccard_components(make_docs(rows), 3, 90, block_rows=4)
+    assert sorted(map(tuple, got.collect()), key=str) == components(rows, 3, 90)
+    assert len(asked) == 1 and asked[0] <= 2 * 100
+
+
+def test_rarest_tokens_come_first(spark):
+    sets = {1: [5, 7, 9, 11], 2: [5, 7, 9, 12], 3: [5, 7, 13, 14], 4: [5, 20, 21, 22], 5: [3], 6: [3]}
+    # High bits, so that 32 bits of a bucket tell the tokens apart.
+    rows = [(i, len(x), np.array([t << 40 for t in x], np.uint64).tobytes()) for i, x in sets.items()]
+    got = J.rare_prefixes(spark.createDataFrame(rows, "rep long, n long, tokens binary"), 50, 18).collect()
+    # 3 of 4, or the one: 1 has 11 (alone, left out), 9 and 7; 3 has 13 and 14 (alone) and 7; 4 only such.
+    assert sorted((r["rep"], r["n"], r["token"] >> 40) for r in got) == [(1, 4, 7), (1, 4, 9), (2, 4, 7), (2, 4, 9), (3, 4, 7), (5, 1, 3), (6, 1, 3)]
+
+
 def test_pairs_in_and_between_blocks():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in rng.integers(1, 40, 60)]

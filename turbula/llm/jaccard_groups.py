@@ -12,12 +12,14 @@ member from above. The bound is asked three times, each time of smaller groups:
    seen which occur in two sets or more; sets with too few of those are linked
    with nothing. This is asked of all sets and again of those that it leaves.
 2. Groups of similar sets, in blocks of bounded size: sets that share a token
-   among their first |x| - ceil(t |x|) + 1 (linked sets always do), and are of
-   about the same size. The token-group matrix has an entry for each such token
-   and block that holds it. Each block is searched within itself; two blocks are
-   a case for the bound only if the matrix has a token of both, their sizes allow
-   a link and they are not one component already. Each block's token union is
-   stored; queries of one block are held against the union of the other.
+   among their |x| - ceil(t |x|) + 1 rarest (linked sets always do, as all are
+   ordered alike), and are of about the same size. What many texts have in common
+   is so in the order's end and ties nothing. The token-group matrix has an entry
+   for each such token and block that holds it. Each block is searched within
+   itself; two blocks are a case for the bound only if the matrix has a token of
+   both, their sizes allow a link and they are not one component already. Each
+   block's token union is stored, by 32 bits a token; queries of one block are
+   held against the union of the other.
 3. Within an opened block, the sets that are left, until nothing changes; then
    their overlaps are counted exactly, all at once, by a matrix product.
 
@@ -243,6 +245,58 @@ def plausible_sets(
     return answered.groupBy("block").applyInPandas(decide, "doc_id long")
 
 
+#: Ranks of tokens by the number of sets that hold them: each number to 16 has its own, then steps of 7 %.
+_RANKS = np.unique([*range(1, 17), *(int(16 * 1.07**k) for k in range(239))])
+
+
+def rare_prefixes(sets: DataFrame, percent: int, n_tokens: int, chunk_tokens: int = 1_000_000) -> DataFrame:
+    """``rep, n, token``: of each set the |x| - ceil(``percent`` |x|) + 1 rarest tokens, without those that no other set holds.
+
+    All sets are ordered alike: by the rank of the number of ``sets`` that hold a
+    token, then by the token. ``sets``: ``rep, n, tokens``, the tokens sorted. The
+    tokens of a chunk of sets are dealt by hash, each once; where they meet, they
+    are counted and each chunk gets the ranks back, in order. Tokens are compared
+    by 32 bits within a bucket; equal ones of different tokens get one rank, the
+    same in all sets.
+    """
+    bits = max(6, math.ceil(math.log2(max(1, n_tokens) / (1 << 22))))
+    chunks = max(64, -(-n_tokens // chunk_tokens))
+    dealt = sets.select("rep", "n", "tokens", F.pmod(F.xxhash64("rep"), F.lit(chunks)).alias("chunk"))
+
+    def held(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in f["tokens"]]), return_counts=True)
+
+    def deal(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        token, times = held(f)
+        at = np.append(np.searchsorted(token, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(token))
+        short, times = (token << np.uint64(bits) >> np.uint64(32)).astype("<u4"), times.astype("<u4")
+        rows = [(k, key[0], short[i:j].tobytes(), times[i:j].tobytes()) for k, (i, j) in enumerate(zip(at, at[1:])) if i < j]
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "token", "times"])
+
+    def rank(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        token, times = (np.frombuffer(b"".join(f[c]), "<u4") for c in ("token", "times"))
+        where = np.unique(token, return_inverse=True)[1]
+        ranks = (np.searchsorted(_RANKS, np.bincount(where, times), "right") - 1).astype(np.uint8)[where]
+        at = np.cumsum([0, *(len(x) >> 2 for x in f["token"])])
+        return pd.DataFrame({"chunk": f["chunk"], "bucket": key[0], "ranks": [ranks[i:j].tobytes() for i, j in zip(at, at[1:])]})
+
+    def cut(f: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        token = held(f)[0]
+        ranks = np.frombuffer(b"".join(answers.sort_values("bucket")["ranks"]), np.uint8)
+        kept = []
+        for x in f["tokens"]:
+            x = np.frombuffer(x, np.uint64)
+            own = ranks[np.searchsorted(token, x)]
+            first = np.argsort(own, kind="stable")[: len(x) - -(-len(x) * percent // 100) + 1]
+            kept.append(x[first[own[first] > 0]].view(np.int64))
+        times = [len(x) for x in kept]
+        return pd.DataFrame({"rep": np.repeat(f["rep"].to_numpy(), times), "n": np.repeat(f["n"].to_numpy(), times), "token": np.concatenate(kept)})
+
+    cells = dealt.groupBy("chunk").applyInPandas(deal, "bucket int, chunk long, token binary, times binary")
+    answers = cells.groupBy("bucket").applyInPandas(rank, "chunk long, bucket int, ranks binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(cut, "rep long, n long, token long")
+
+
 def jaccard_components(
     docs: DataFrame,
     width: int = 5,
@@ -295,13 +349,11 @@ def jaccard_components(
     def to_sets(blocks: Iterator[list[list]]) -> Iterator[list[list]]:
         for block in blocks:
             keys, sets = read_left(block)
-            size = [len(tokens) for tokens in sets]
-            prefix = [tokens[: n - -(-n * percent // 100) + 1].view(np.int64) for tokens, n in zip(sets, size, strict=True)]
-            yield [keys, size, [tokens.tobytes() for tokens in sets], prefix]
+            yield [keys, [len(tokens) for tokens in sets], [tokens.tobytes() for tokens in sets]]
 
-    found = map_rows(docs, columns, to_sets, "rep long,n long,tokens binary,prefix array<long>").where("n > 0")
+    found = map_rows(docs, columns, to_sets, "rep long,n long,tokens binary").where("n > 0")
     sets = written(found.join(left, "rep", "left_semi"))
-    entries = sets.select("rep", "n", F.explode("prefix").alias("token"))
+    entries = written(rare_prefixes(sets, percent, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     shared = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min("rep").alias("lead")).where("sets > 1")
     entries = checkpointed(entries.join(shared.select("token", "lead"), "token"))
 
@@ -341,8 +393,12 @@ def jaccard_components(
     pairs = x.join(y, F.expr(other)).select(F.col("x.block").alias("asking"), F.col("y.block").alias("asked")).distinct()
     pairs = checkpointed(pairs)
 
+    def short(tokens: np.ndarray) -> np.ndarray:
+        """The first 32 bits: equal ones of different tokens only open more."""
+        return (tokens >> np.uint64(32)).astype("<u4")
+
     def unite(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        union = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in f["tokens"]]))
+        union = np.unique(short(np.concatenate([np.frombuffer(t, np.uint64) for t in f["tokens"]])))
         return pd.DataFrame({"asked": [key[0]], "union": [union.tobytes()]})
 
     def chunked(asked: DataFrame, by: str, other: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -356,9 +412,9 @@ def jaccard_components(
         reps, out = queries["rep"].to_numpy(np.int64), {"rep": [], "asked": []}
         if sets and len(groups):
             size = np.array([len(t) for t in sets])
-            flat, begin = np.concatenate(sets), np.cumsum(size) - size
+            flat, begin = short(np.concatenate(sets)), np.cumsum(size) - size
             for asked, union in zip(groups["asked"], groups["union"], strict=True):
-                overlap = np.add.reduceat(np.isin(flat, np.frombuffer(union, np.uint64)).astype(np.int64), begin)
+                overlap = np.add.reduceat(np.isin(flat, np.frombuffer(union, "<u4")).astype(np.int64), begin)
                 opens = reps[overlap * 100 >= size * percent]
                 out["rep"] += opens.tolist()
                 out["asked"] += [asked] * len(opens)
@@ -381,7 +437,8 @@ def jaccard_components(
 
     dealt, asked = chunked(opened, "asked", "rep", 4 * block_rows)
     members = asked.join(blocks_of.withColumnRenamed("block", "asked"), "asked").join(stored, "rep")
-    more = members.groupBy("asked", "turn").cogroup(dealt.join(stored, "rep").groupBy("to", "turn")).applyInPandas(across, "a long, b long")
+    asks = dealt.join(stored.select("rep", F.col("tokens").alias("tokens")), "rep")
+    more = members.groupBy("asked", "turn").cogroup(asks.groupBy("to", "turn")).applyInPandas(across, "a long, b long")
     # Equal ids of different sets are one node, too.
     final = connected_components(edges.unionByName(more))
     classes = equal.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
