@@ -70,7 +70,8 @@ def test_one_of_each_group_stays(make_docs):
     assert kept.columns == make_docs(rows).columns
 
 
-def test_common_passages_pair_no_blocks(make_docs, monkeypatch):
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_common_passages_pair_no_blocks(make_docs, monkeypatch, width, percent):
     rng, asked = random.Random(4), []
     common = [" ".join(f"c{i}w{k}" for k in range(20)) for i in range(10)]
     rows = []
@@ -85,8 +86,8 @@ def test_common_passages_pair_no_blocks(make_docs, monkeypatch):
         return done
 
     monkeypatch.setattr(J, "checkpointed", seen)
-    got = J.jaccard_components(make_docs(rows), 3, 90, block_rows=4)
-    assert sorted(map(tuple, got.collect()), key=str) == components(rows, 3, 90)
+    got = J.jaccard_components(make_docs(rows), width, percent, block_rows=4)
+    assert sorted(map(tuple, got.collect()), key=str) == components(rows, width, percent)
     assert len(asked) == 1 and asked[0] <= 2 * 100
 
 
